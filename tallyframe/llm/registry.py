@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup
+from . import bpe, chat, decontaminate, line_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return bpe.digests(coded, "doc_id")
@@ -31,12 +36,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op6_line_dedup": op6_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.SQL,
     "op3_chat": chat.SQL,
     "op6_line_dedup": line_dedup.SQL,
 }
