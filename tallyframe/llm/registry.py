@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup
+from . import bpe, chat, decontaminate, lattice_lm, line_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def fold(modulus: int) -> Column:
+    """crc32 of the document id as text, modulo a number of folds."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lattice_lm.score(table(spark, sf_dir, "documents"), fold(7) != 2, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumn("held_out", ~F.col("train")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -39,6 +49,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
+    "op5_lattice_lm": op5_lattice_lm,
     "op6_line_dedup": op6_line_dedup,
 }
 
