@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lattice_lm, line_dedup
+from . import bpe, chat, decontaminate, lattice_lm, line_dedup, recompression
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,16 +45,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup_substrings(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_line_dedup": op6_line_dedup,
+    "op10_recompression": op10_recompression,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op3_chat": chat.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op10_recompression": recompression.SQL,
 }
