@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .copies import mark_copies
 from .filters import passes, repeated
-from .session import materialize, small
+from .session import materialize
 from .tokens import SPACED, Words, mix, rows_of, window_starts, windows
 
 WINDOW, ROUNDS = 13, 2
@@ -181,10 +182,6 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string")
 
 
-#: Copied texts up to which their hashes are broadcast (24 bytes each).
-BROADCAST_ROWS = 500_000
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bits: int = 27) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
@@ -196,10 +193,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
-    hashed = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
-    copies = hashed.filter("text IS NOT NULL AND id IS NOT NULL").groupBy("t1", "t2").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
-    copies = materialize(copies.filter("leader < last").select("t1", "t2", "leader"))
-    marked = hashed.join(small(copies, BROADCAST_ROWS), ["t1", "t2"], "left").select("id", "text", F.coalesce(F.col("id") > F.col("leader"), F.lit(False)).alias("copy"))
+    marked = mark_copies(docs).select("id", "text", "copy")
     flags = context.broadcast(repeated(marked.filter("NOT copy").select("text"), _unique_anchors(window), bits))
     scanned = materialize(_scan(marked, flags, window).withColumn("row", F.monotonically_increasing_id()))
     sure = scanned.filter("kept_sha256 IS NOT NULL").select("id", "n_words", "n_removed", "kept_sha256")
