@@ -14,6 +14,7 @@ each distinct piece of a slice is encoded once.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .tokens import Words, binary_rows, ragged, rows_of
 
-#: Pieces remembered by a task from slice to slice.
-CACHE_WORDS = 200_000
+#: Pieces remembered by a Python worker, of some 200 bytes each.
+CACHE_WORDS = 500_000
+#: Longest piece that is remembered.
+CACHE_BYTES = 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -87,7 +90,7 @@ class WordBPE:
             if self.split[i] is None or self.compatible(*self.split[i], below=i):
                 self.matches.add_word(t, i)
         self.matches.make_automaton()
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def compatible(self, left: int, right: int, below: int = 1 << 60) -> bool:
         """Whether the merges leave ``left`` and ``right`` side by side (``below``: looking at earlier merges only).
@@ -160,17 +163,19 @@ class WordBPE:
             out += self.word(m[0].encode())
         return out
 
-    def piece(self, raw: bytes) -> np.ndarray:
-        """The tokens of a text without ASCII white space."""
+    def piece(self, raw: bytes) -> bytes:
+        """The tokens (unsigned 32-bit integers) of a text without ASCII white space."""
         got = self.known.get(raw)
         if got is None:
             text, out, at = raw.decode(), [], 0
+            if raw.isalpha():  # ASCII letters alone are one word
+                at, out = len(text), self.word(raw.lower())
             if self.specials and b"<|" in raw:
                 for m in self.specials.finditer(text):
                     out += self._plain(text[at : m.start()]) + [self.special[m[0]]]
                     at = m.end()
-            got = np.array(out + self._plain(text[at:]), np.uint32)
-            if len(self.known) < CACHE_WORDS:
+            got = np.array(out + self._plain(text[at:]), np.uint32).tobytes()
+            if len(self.known) < CACHE_WORDS and len(raw) <= CACHE_BYTES:
                 self.known[raw] = got
         return got
 
@@ -181,8 +186,8 @@ class WordBPE:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         _, where, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
         pieces = [self.piece(w.word(i)) for i in where]
-        size = np.array([len(p) for p in pieces], np.int64)
-        flat = np.concatenate(pieces)
+        size = np.array([len(p) for p in pieces], np.int64) // 4
+        flat = np.frombuffer(b"".join(pieces), np.uint32)
         counts = size[which]
         ids = flat[ragged((np.cumsum(size) - size)[which], counts)]
         return ids, np.concatenate(([0], np.cumsum(counts)))[w.first]
@@ -206,6 +211,13 @@ class Decoder:
         return binary_rows(data[keep], ends - np.concatenate(([0], np.cumsum(rows[1:] > rows[:-1])))).cast(pa.string())
 
 
+@functools.lru_cache(1)
+def _loaded(path: str) -> tuple[WordBPE, Decoder]:
+    """One encoder for all tasks of a Python worker."""
+    bpe = WordBPE(path)
+    return bpe, Decoder(bpe.strings)
+
+
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (``keep`` columns or ``id_col``; n_tokens, ids: little-endian unsigned 32-bit integers, decoded: text).
 
@@ -217,9 +229,8 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     df = docs.select(*names, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBPE(path)
-        decoder = Decoder(bpe.strings)
-        for batch in rows_of(batches, "__text"):
+        bpe, decoder = _loaded(path)
+        for batch in rows_of(batches, "__text", 4 << 20):
             ids, rows = bpe.encode(batch.column("__text"))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(np.diff(rows)), binary_rows(np.ascontiguousarray(ids, "<u4").view(np.uint8), rows * 4), decoder.decode(ids, rows)],
