@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lattice_lm, line_dedup, recompression, shingle_join
+from . import bpe, chat, decontaminate, lattice_lm, line_dedup, near_vectors, recompression, shingle_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_links(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_line_dedup": op6_line_dedup,
+    "op8_near_vectors": op8_near_vectors,
     "op9_shingle_join": op9_shingle_join,
     "op10_recompression": op10_recompression,
 }
