@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lattice_lm, line_dedup, near_vectors, recompression, shingle_join
+from . import bpe, chat, decontaminate, lattice_lm, line_dedup, near_vectors, recompression, secrets, shingle_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("found")
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), *(secrets.count_kind(found, k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.spans_text(found, True).cast("binary"), 256).alias("base_sha256"), secrets.spans_text(found, False).alias("spans"),
+    )
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_links(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -63,6 +71,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_line_dedup": op6_line_dedup,
+    "op7_secrets": op7_secrets,
     "op8_near_vectors": op8_near_vectors,
     "op9_shingle_join": op9_shingle_join,
     "op10_recompression": op10_recompression,
