@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lattice_lm, line_dedup, near_vectors, recompression, secrets, shingle_join
+from . import bpe, chat, decontaminate, lattice_lm, line_dedup, near_vectors, recompression, secrets, shingle_join, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) != 2)
+    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lattice_lm.score(table(spark, sf_dir, "documents"), fold(7) != 2, public_tokenizers.path("piece_bpe_32k.model"))
     return out.withColumn("held_out", ~F.col("train")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
+    "op4_toxicity": op4_toxicity,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_line_dedup": op6_line_dedup,
     "op7_secrets": op7_secrets,
