@@ -10,9 +10,12 @@ and equally placed.  Each window takes one of them as its anchor (highest
 level, then least name); windows without any take their own hash.
 
 An anchor held by one document alone rules out all its windows, which leaves
-few windows to verify: the others are compared by 128-bit hashes of all their
-words, and the smallest document id of each window's holders decides.  Copies
-of a whole text need no windows: all but the smallest id lose every window.
+few to verify.  Consecutive windows with one anchor are a stretch; a stretch
+that a smaller id holds as a whole, by a 128-bit hash of all its words, is
+settled without its windows.  The windows of the other stretches are compared
+one by one, by 128-bit hashes, and the smallest id of a window's holders
+decides; that holder's own stretch is never a settled one, so none is missed.
+Copies of a whole text need no windows: all but the smallest id lose them all.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .copies import mark_copies
 from .filters import passes, repeated
-from .session import materialize
-from .tokens import SPACED, Words, mix, rows_of, window_starts, windows
+from .session import discard, materialize
+from .tokens import SPACED, Words, mix, ragged, rows_of, window_starts, windows
 
 WINDOW, ROUNDS = 13, 2
 _RUN, _PAIR, _SIDE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -131,23 +134,38 @@ def _digest(raw: bytes) -> str:
     return hashlib.sha256(raw).hexdigest()
 
 
+_STEP, _STEP2 = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC13FA9A902A6328F)
+
+
+def _stretch_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of the words in each range."""
+    out = []
+    for step in (_STEP, _STEP2):
+        power, back = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(h), x, np.uint64)))) for x in (step, np.uint64(pow(int(step), -1, 1 << 64))))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)))
+        out.append(mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64)).view(np.int64))
+    return out
+
+
 def _scan(docs: DataFrame, flags, window: int) -> DataFrame:
-    """id, copy, n_words, kept (null: in doubt), text (in doubt only), found: the windows in doubt."""
+    """id, n_words, n_removed, kept_sha256 (null: in doubt), raw (in doubt only), found: the stretches in doubt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text"):
             w = Words(batch.column("text"), SPACED, lower=False)
             h = w.hashes()
-            at, anchor, own = anchors(w, h, window)
+            at, anchor, _ = anchors(w, h, window)
+            text = np.searchsorted(w.first, at, "right") - 1
             copy = batch.column("copy").to_numpy(zero_copy_only=False)
-            hit = passes(flags.value, anchor) & ~copy[np.searchsorted(w.first, at, "right") - 1]
-            at, own = at[hit], own[hit]
-            second = windows(h, window, seed=3)[at] if len(at) else own
-            cut = np.searchsorted(at, w.first)
-            place = at - np.repeat(w.first[:-1], np.diff(cut))
-            found = pa.ListArray.from_arrays(
-                pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(own.view(np.int64)), pa.array(second.view(np.int64)), pa.array(place.astype(np.int32))], ["h1", "h2", "place"])
-            )
+            hit = passes(flags.value, anchor) & ~copy[text]
+            at, anchor, text = at[hit], anchor[hit], text[hit]
+            head = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])) if len(at) else np.zeros(0, bool)
+            begin = at[head]
+            count = np.diff(np.append(np.flatnonzero(head), len(head)))
+            r1, r2 = _stretch_hashes(h, begin, begin + count + window - 1)
+            cut = np.searchsorted(begin, w.first)
+            place = begin - np.repeat(w.first[:-1], np.diff(cut))
+            found = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(r1), pa.array(r2), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))], ["r1", "r2", "place", "n"]))
             gone, doubt = copy & (w.counts >= window), np.diff(cut) > 0
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             kept = [None if d else b"" if g else b" ".join((x or b"").split()) for g, d, x in zip(gone, doubt, raw)]
@@ -156,7 +174,28 @@ def _scan(docs: DataFrame, flags, window: int) -> DataFrame:
                 names=["id", "n_words", "n_removed", "kept_sha256", "raw", "found"],
             )
 
-    return docs.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string, raw binary, found array<struct<h1:long,h2:long,place:int>>")
+    return docs.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string, raw binary, found array<struct<r1:long,r2:long,place:int,n:int>>")
+
+
+def _open_windows(rows: DataFrame, window: int) -> DataFrame:
+    """row, id, h1, h2, place of the windows of stretches that are not settled (``open``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, "raw"):
+            w = Words(batch.column("raw").cast(pa.string()), SPACED, lower=False)
+            h = w.hashes()
+            lists = batch.column("open").to_pylist()
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            n = np.array([s["n"] for x in lists for s in x], np.int64)
+            place = ragged(np.array([s["place"] for x in lists for s in x], np.int64), n)
+            row = np.repeat(row, n)
+            at = w.first[row] + place
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(take), batch.column("id").take(take), *(pa.array(windows(h, window, seed=k)[at].view(np.int64)) for k in (2, 3)), pa.array(place.astype(np.int32))], names=["row", "id", "h1", "h2", "place"]
+            )
+
+    return rows.mapInArrow(run, "row long, id long, h1 long, h2 long, place int")
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -165,12 +204,12 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "raw"):
             kept, removed = [], []
-            for raw, places in zip(batch.column("raw").to_pylist(), batch.column("places").to_pylist()):
+            for raw, ranges in zip(batch.column("raw").to_pylist(), batch.column("gone").to_pylist()):
                 words = raw.split()
                 edge = np.zeros(len(words) + 1, np.int32)
-                at = np.array(places or [], np.int64)
+                at = np.array([r["place"] for r in ranges or ()], np.int64)
                 np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
+                np.add.at(edge, at + np.array([r["n"] for r in ranges or ()], np.int64) + window - 1, -1)
                 stay = np.cumsum(edge[:-1]) == 0
                 removed.append(len(words) - int(stay.sum()))
                 kept.append(b" ".join([w for w, s in zip(words, stay) if s]))
@@ -198,10 +237,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scanned = materialize(_scan(marked, flags, window).withColumn("row", F.monotonically_increasing_id()))
     sure = scanned.filter("kept_sha256 IS NOT NULL").select("id", "n_words", "n_removed", "kept_sha256")
     doubtful = scanned.filter("kept_sha256 IS NULL")
-    held = doubtful.select("row", "id", F.explode("found").alias("f")).select("row", "id", "f.h1", "f.h2", "f.place")
+    held = doubtful.select("row", "id", F.explode("found").alias("f")).select("row", "id", "f.*")
+    shared = held.groupBy("r1", "r2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("r1", "r2", "least")
+    settled = F.coalesce(F.col("id") > F.col("least"), F.lit(False))
+    item = F.struct("place", "n")
+    lists = materialize(
+        held.join(shared, ["r1", "r2"], "left").groupBy("row").agg(F.collect_list(F.when(settled, item)).alias("gone"), F.collect_list(F.when(~settled, item)).alias("open"))
+    )
+    texts = doubtful.select("row", "id", "raw").filter("id IS NOT NULL")
+    held = materialize(_open_windows(texts.join(lists.filter(F.size("open") > 0).select("row", "open"), "row"), window))
     shared = held.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("h1", "h2", "least")
-    gone = held.join(shared, ["h1", "h2"]).filter("id > least").groupBy("row").agg(F.collect_list("place").alias("places"))
-    return sure.unionByName(_cut(doubtful.select("row", "id", "n_words", "raw").join(gone, "row", "left").select("id", "n_words", "raw", "places"), window))
+    more = held.join(shared, ["h1", "h2"]).filter("id > least").groupBy("row").agg(F.collect_list(F.struct("place", F.lit(1).alias("n"))).alias("more"))
+    gone = materialize(lists.select("row", "gone").join(more, "row", "left").select("row", F.concat("gone", F.coalesce("more", F.array().cast("array<struct<place:int,n:int>>"))).alias("gone")))
+    discard(held)
+    discard(lists)
+    return sure.unionByName(_cut(doubtful.select("row", "id", "n_words", "raw").join(gone, "row", "left").select("id", "n_words", "raw", "gone"), window))
 
 
 SQL = r"""

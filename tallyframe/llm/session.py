@@ -27,6 +27,8 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyframe/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # The query is over: once the driver has collected its plan, Spark drops the shuffle files.
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
