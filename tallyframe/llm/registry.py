@@ -63,13 +63,20 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.join_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    out = shingle_join.join_classes(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.dedup_substrings(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -81,6 +88,7 @@ QUERIES = {
     "op8_near_vectors": op8_near_vectors,
     "op9_shingle_join": op9_shingle_join,
     "op10_recompression": op10_recompression,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {

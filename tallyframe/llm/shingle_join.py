@@ -232,7 +232,7 @@ def _page_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int = 27) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id.
+    """One row per row of ``docs``: id, th (64-bit hash of the text), n_shingles, component_id.
 
     Two texts link when 100 * intersection >= percent * union of their sets of
     distinct ``shingle``-word shingles (a text of fewer words is one shingle).
@@ -272,8 +272,8 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = points.select("t1", "t2", "v", "n").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
     rows = marked.select("id", "t1", "t2", F.col("text").isNotNull().alias("real"))
     rows = rows.join(classes.dropDuplicates(["t1", "t2"]), (rows.t1 == classes.t1) & (rows.t2 == classes.t2) & rows.real, "left").select(
-        "id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component")
+        "id", rows.t1.alias("th"), F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component")
     )
     rows = materialize(rows)
     least = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
-    return rows.join(least, "component", "left").select("id", "n_shingles", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(least, "component", "left").select("id", "th", "n_shingles", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))

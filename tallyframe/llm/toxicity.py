@@ -250,15 +250,17 @@ def score(docs: DataFrame, labels: DataFrame, train_row: Column, id_col: str = "
     one = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("toxic"))
     known = docs.filter(train_row).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(one, "__id").select("text", "toxic")
     model = docs.sparkSession.sparkContext.broadcast(train(known, sample))
-    names = list(dict.fromkeys(keep or (id_col,)))
-    df = docs.select(*names, F.col(text_col).alias("__text"))
+    names = [c for c in dict.fromkeys(keep or (id_col,)) if c != text_col or not keep]
+    df = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias("__text"))
+    whole = keep and text_col in keep  # the text itself is asked for: it passes through as it is
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, weights = model.value
         for batch in rows_of(batches, "__text"):
             x = document_features(batch.column("__text"), lexicon)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:5] + weights[5], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], names=[*names, "score"])
+            extra = [batch.column("__text")] if whole else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *extra, pa.array(p)], names=[*names, *(["__text"] if whole else []), "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
-    return df.mapInArrow(run, f"{kept}, score double")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in names or (whole and f.name == "__text"))
+    return df.mapInArrow(run, f"{kept}score double").withColumnRenamed("__text", text_col)
