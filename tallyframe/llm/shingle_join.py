@@ -11,10 +11,11 @@ coordinates.  The index has two levels, both cut by that bound:
   the threshold asks for.  So a point is entered in the slab of each leading
   coordinate, and only slabs with two points matter; a filter of fixed size
   drops the others before any row is shuffled.
-* pages.  A slab's points are packed by size into pages of some 64 with their
-  bounding box: the greatest count in every group, the least and greatest
-  size.  Page pairs are joined inside a slab; the boxes' summed minima rule
-  out a pair of pages at once, and then the points' own ones pairs of points.
+* pages.  A slab's points, in 16 groups, are packed by size into pages of
+  some 64 with their bounding box: the greatest count in every group, the
+  least and greatest size.  Page pairs are joined inside a slab; the boxes'
+  summed minima rule out a pair of pages at once, then the points' own ones
+  pairs of points, and then those in as many groups as the size calls for.
 
 A tree over all points with boxes alone would have to look at nearly all pairs
 of pages: documents without common text lie equally far from each other, so
@@ -38,12 +39,14 @@ from pyspark.sql import functions as F
 from .copies import mark_copies
 from .filters import passes, repeated
 from .graph import components
-from .session import materialize, small
+from .session import discard, materialize, small
 from .tokens import SPACED, Words, mix, rows_of, window_starts, windows
 
 SHINGLE, PERCENT = 4, 85
 GROUP_BITS = 19
 PAGE = 64
+#: Groups of a point in a page: 2**COARSE_BITS.
+COARSE_BITS = 4
 #: Texts up to which the hashes of those to verify are broadcast.
 BROADCAST_ROWS = 500_000
 _SIGN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -84,9 +87,9 @@ class ShingleSets:
         keep = rank < most[text]
         return h[keep], text[keep]
 
-    def counts(self, i: int) -> bytes:
-        """A text's group counts (16 bits), in about an eighth as many groups as it has shingles."""
-        bits = min(10, max(4, int(self.n[i]).bit_length() - 3))
+    def counts(self, i: int, bits: int | None = None) -> bytes:
+        """A text's group counts (16 bits), unless told otherwise in about an eighth as many groups as it has shingles."""
+        bits = bits or min(10, max(COARSE_BITS, int(self.n[i]).bit_length() - 3))
         h = self.h[self.first[i] : self.first[i + 1]]
         return np.minimum(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16).tobytes()
 
@@ -124,7 +127,7 @@ def group_mass(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _points(texts: DataFrame, mass, flags, k: int, percent: int) -> DataFrame:
-    """t1, t2, v (class), n, slabs, counts: one row per text."""
+    """t1, t2, v (class), n, slabs, counts, coarse: one row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text"):
@@ -133,13 +136,15 @@ def _points(texts: DataFrame, mass, flags, k: int, percent: int) -> DataFrame:
             hit = passes(flags.value, h)
             h, text = h[hit], text[hit]
             cut = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-            counts = [s.counts(i) if cut[i + 1] > cut[i] else None for i in range(batch.num_rows)]
+            used = cut[1:] > cut[:-1]
+            counts = [s.counts(i) if u else None for i, u in enumerate(used)]
+            coarse = [s.counts(i, COARSE_BITS) if u else None for i, u in enumerate(used)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("t1"), batch.column("t2"), pa.array(s.signature().view(np.int64)), pa.array(s.n), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))), pa.array(counts, pa.binary())],
-                names=["t1", "t2", "v", "n", "slabs", "counts"],
+                [batch.column("t1"), batch.column("t2"), pa.array(s.signature().view(np.int64)), pa.array(s.n), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))), pa.array(counts, pa.binary()), pa.array(coarse, pa.binary())],
+                names=["t1", "t2", "v", "n", "slabs", "counts", "coarse"],
             )
 
-    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, v long, n long, slabs array<long>, counts binary")
+    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, v long, n long, slabs array<long>, counts binary, coarse binary")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -174,7 +179,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, k: int, per
             yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([s.h[a:b].tobytes() for a, b in zip(s.first, s.first[1:])], pa.binary())], names=["v", "set"])
 
     sets = texts.select("t1", "t2", "text").join(small(wanted, BROADCAST_ROWS), ["t1", "t2"]).select("v", "text").mapInArrow(run, "v long, set binary")
-    sets = materialize(sets.dropDuplicates(["v"]))
+    sets = materialize(sets)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,13 +192,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, k: int, per
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b").mapInArrow(check, "a long, b long")
+    found = materialize(pairs.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b").mapInArrow(check, "a long, b long").distinct())
+    discard(sets)
+    return found
 
 
 def _page_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of points of different components that share a slab and pass the boxes' and their own bounds.
 
-    ``entries``: slab, v, n, counts, component.  Pages are (slab, size class,
+    ``entries``: slab, v, n, coarse, component.  Pages are (slab, size class,
     salt); the salt follows the count of the slab's points of that size, so a
     page has some PAGE points however large a slab is.
     """
@@ -201,7 +208,7 @@ def _page_pairs(entries: DataFrame, percent: int) -> DataFrame:
     entries = entries.withColumn("band", band)
     sizes = entries.groupBy("slab", "band").agg(F.count("*").alias("m"))
     salted = entries.join(sizes, ["slab", "band"]).withColumn("salt", F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / PAGE).cast("long")))
-    pages = materialize(salted.groupBy("slab", "band", "salt").agg(F.collect_list(F.struct("v", "n", "component", "counts")).alias("points")))
+    pages = materialize(salted.groupBy("slab", "band", "salt").agg(F.collect_list(F.struct("v", "n", "component", "coarse")).alias("points")))
     left = pages.select("slab", F.col("band").alias("b1"), F.col("salt").alias("s1"), F.col("points").alias("p1"))
     right = pages.select("slab", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("b1"), "band", F.col("salt").alias("s2"), F.col("points").alias("p2"))
     # A pair lies in one band or in neighbouring ones; pages of one band are paired once.
@@ -213,7 +220,7 @@ def _page_pairs(entries: DataFrame, percent: int) -> DataFrame:
             for p1, p2 in zip(batch.column("p1").to_pylist(), batch.column("p2").to_pylist()):
                 if len({p["component"] for p in p1} | {p["component"] for p in p2}) < 2:
                     continue
-                vectors = folded([np.frombuffer(p["counts"], np.uint16).astype(np.int64) for p in p1 + p2])
+                vectors = np.stack([np.frombuffer(p["coarse"], np.uint16).astype(np.int64) for p in p1 + p2])
                 x, y = vectors[: len(p1)], vectors[len(p1) :]
                 n1, n2 = (np.array([p["n"] for p in q]) for q in (p1, p2))
                 if np.minimum(x.max(0), y.max(0)).sum() < need(n1.min(), n2.min(), percent):
@@ -261,13 +268,14 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = slabs.join(hubs, "slab").filter((F.col("v") != F.col("hub.v")) & (F.col("n") * percent <= F.col("hub.n") * 100) & (F.col("hub.n") * percent <= F.col("n") * 100))
     star = near.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
     star = materialize(_bounded(star, shared, percent))
-    links = materialize(_verified(star, texts, points, shingle, percent))
+    links = _verified(star, texts, points, shingle, percent)
     known = components(links)
     labelled = slabs.join(known, "v", "left").withColumn("component", F.coalesce("component", "v"))
     open_slabs = labelled.groupBy("slab").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("slab")
-    entries = labelled.join(open_slabs, "slab").join(shared.select("v", "counts"), "v").select("slab", "v", "n", "counts", "component")
-    rest = materialize(_page_pairs(entries, percent).join(star, ["a", "b"], "left_anti"))
-    more = materialize(_verified(rest, texts, points, shingle, percent))
+    entries = labelled.join(open_slabs, "slab").join(shared.select("v", "coarse"), "v").select("slab", "v", "n", "coarse", "component")
+    rest = materialize(_page_pairs(entries, percent))
+    rest = materialize(_bounded(rest.join(star, ["a", "b"], "left_anti"), shared, percent))
+    more = _verified(rest, texts, points, shingle, percent)
     joined = components(links.unionByName(more))
     classes = points.select("t1", "t2", "v", "n").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
     rows = marked.select("id", "t1", "t2", F.col("text").isNotNull().alias("real"))
