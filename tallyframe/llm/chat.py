@@ -74,13 +74,14 @@ def branches(tree: DataFrame, best: int = 1) -> DataFrame:
     hops = [hop := materialize(hop)]
     limit = max(1, tree.count()).bit_length()
     for _ in range(limit):
-        if hop.filter(F.col("up").isNotNull()).isEmpty():
+        open_, done = hop.filter("up IS NOT NULL"), hop.filter("up IS NULL")
+        if open_.isEmpty():
             break
         over = hop.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        hop = hop.join(over, key(F.col("c")) & (F.col("up") == F.col("n")), "left").select(
-            "conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")
+        longer = open_.join(over, key(F.col("c")) & (F.col("up") == F.col("n"))).select(
+            "conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total")
         )
-        hops.append(hop := materialize(hop))
+        hops.append(hop := materialize(done.unionByName(longer)))
     done = hop.filter(F.col("up").isNull())
     inner = nodes.filter(F.col("parent").isNotNull()).select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).distinct()
     leaves = done.join(inner, key(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
