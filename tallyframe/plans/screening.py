@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import intervals, joins, metrics, pairing, splits
+from ..functions import parsers
+from ..operators import intervals, joins, metrics, pairing, resample, splits
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -461,3 +462,24 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query()
+def bootstrap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = _graded(spark, sf_dir).select("lang", "source", "quality")
+    out = resample.cluster_bootstrap(graded, ["lang"], "source", "quality")
+    return out.select("lang", "n", *(r6(c).alias(c) for c in ("mean", "low", "high")))
+
+
+@query("SELECT p_partkey, p_brand FROM part QUALIFY (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) % 16 = 0")
+def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.systematic(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 16).drop("place")
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, upper(text) AS t FROM conversations)
+SELECT conv_id, turn, coalesce(nullif(regexp_extract(t, '<ANSWER>\s*([A-Z])\s*[.)]?\s*</ANSWER>', 1), ''), nullif(regexp_extract(t, '(?:FINAL ANSWER|ANSWER|OPTION|CHOICE)\s*(?:IS|:)?\s*\(?([A-Z])(?:[).:,\s]|$)', 1), ''),
+  nullif(regexp_extract(t, '^\s*\(?([A-Z])[).:]?\s*$', 1), '')) AS letter FROM t
+""")
+def mcq_letter_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", parsers.answer_letter(F.col("text")).alias("letter"))

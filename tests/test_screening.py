@@ -5,11 +5,14 @@ from conftest import DATA, same
 from pyspark.sql import functions as F
 
 from tallyframe.functions import columns as fx
-from tallyframe.operators import intervals, joins, metrics, pairing
+from tallyframe.functions import parsers
+from tallyframe.operators import intervals, joins, metrics, pairing, resample
 from tallyframe.plans import screening
+from tallyframe.sources import records
+from tallyframe.streaming import progress
 
 
-@pytest.mark.parametrize("name", sorted(screening.QUERIES))
+@pytest.mark.parametrize("name", sorted(screening.SQL))
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     same(screening.QUERIES[name](spark, DATA), duck, screening.SQL[name])
 
@@ -58,3 +61,42 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_bootstrap_covers_the_mean_and_ignores_partitioning(spark):
+    rows = spark.range(4000).select((F.col("id") % 200).alias("c"), F.when(F.col("id") % 10 < 9, (F.col("id") % 4 == 0).cast("int")).alias("x"), F.lit("g").alias("g"))
+    a, b = (resample.cluster_bootstrap(r, ["g"], "c", "x", 400).first() for r in (rows, rows.repartition(7)))
+    assert a.n == 3600 and a.low < a["mean"] < a.high and a.high - a.low < 0.2
+    assert (b.low, b.high) == pytest.approx((a.low, a.high))
+
+
+def test_parsers(spark):
+    texts = ["<answer>D</answer>", "Option C.", "b", "The answer is B", "Because the scene changes", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(parsers.answer_letter(F.col("t"))).collect()] == ["D", "C", "B", "B", None, None, None]
+    times = spark.createDataFrame([("01:02:03.5",), ("00:54",), ("x",), (None,)], "t string")
+    assert [r[0] for r in times.select(parsers.clock_seconds(F.col("t"))).collect()] == [3723.5, 54.0, None, None]
+
+
+def test_json_lines_and_rejection(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "p": 0.5}\n{"id": 2}\n{"id": 3, "p"')
+    good, bad = records.read_json_lines(spark, str(tmp_path / "a.jsonl"), T._parse_datatype_string("id long, p double"))
+    assert [r.id for r in good.collect()] == [1, 2] and len(bad.collect()) == 1
+    kept, out = records.accepted(good, {"no p": F.col("p").isNull(), "small": F.col("p") < 0.1})
+    assert [r.id for r in kept.collect()] == [1] and [(r.id, r.reason) for r in out.collect()] == [(2, "no p")]
+    records.write_json_lines(kept, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_streams_of_progress(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    rows = [("u1", "full", "running", "null", "00:01"), ("u1", "full", "complete", "true", "00:09"), ("u2", "gold", "failed", "null", "00:12"), ("u2", "gold", "failed", "null", "00:13")]
+    (source / "1.json").write_text("".join(f'{{"unit":"{u}","view":"{v}","status":"{s}","correct":{c},"at":"2024-01-01T{t}:00Z"}}\n' for u, v, s, c, t in rows) + '{"unit":')
+    for name, build, mode in (("snap", progress.snapshot, "complete"), ("chg", progress.changes, "append")):
+        q = build(progress.read_units(spark, str(source))).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        q.awaitTermination(120)
+    assert {(r.view, r.n, r.complete, r.failed) for r in spark.table("snap").collect()} == {("full", 2, 1, 0), ("gold", 2, 0, 2)}
+    assert {(r.unit, r.before, r.status) for r in spark.table("chg").collect()} == {("u1", None, "running"), ("u1", "running", "complete"), ("u2", None, "failed")}
