@@ -11,11 +11,11 @@ coordinates.  The index has two levels, both cut by that bound:
   the threshold asks for.  So a point is entered in the slab of each leading
   coordinate, and only slabs with two points matter; a filter of fixed size
   drops the others before any row is shuffled.
-* pages.  A slab's points, in 16 groups, are packed by size into pages of
-  some 64 with their bounding box: the greatest count in every group, the
-  least and greatest size.  Page pairs are joined inside a slab; the boxes'
-  summed minima rule out a pair of pages at once, then the points' own ones
-  pairs of points, and then those in as many groups as the size calls for.
+* pages.  A slab's points are packed by size into pages of some 64 with their
+  bounding box: the greatest count in every group, the least and greatest
+  size.  Page pairs are joined inside a slab; the boxes' summed minima rule
+  out a pair of pages at once, and then the points' own ones pairs of points.
+  A pair that shares several slabs is looked at in one of them alone.
 
 A tree over all points with boxes alone would have to look at nearly all pairs
 of pages: documents without common text lie equally far from each other, so
@@ -24,7 +24,7 @@ boxes of unrelated points overlap.  The slabs are what keeps the join linear.
 Surviving pairs are verified on whole shingle sets.  Equal sets are one class
 from the start, and before the pages are joined each slab's points are
 verified against one hub: in a large group of near copies nearly all points
-are then known to be connected, and pairs inside a component are skipped.
+are then known to be connected through it, and their pairs are skipped.
 """
 
 from __future__ import annotations
@@ -45,8 +45,6 @@ from .tokens import SPACED, Words, mix, rows_of, window_starts, windows
 SHINGLE, PERCENT = 4, 85
 GROUP_BITS = 19
 PAGE = 64
-#: Groups of a point in a page: 2**COARSE_BITS.
-COARSE_BITS = 4
 #: Texts up to which the hashes of those to verify are broadcast.
 BROADCAST_ROWS = 500_000
 _SIGN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,11 +85,21 @@ class ShingleSets:
         keep = rank < most[text]
         return h[keep], text[keep]
 
-    def counts(self, i: int, bits: int | None = None) -> bytes:
-        """A text's group counts (16 bits), unless told otherwise in about an eighth as many groups as it has shingles."""
-        bits = bits or min(10, max(COARSE_BITS, int(self.n[i]).bit_length() - 3))
+    def counts(self, i: int) -> bytes:
+        """A text's group counts, in about an eighth as many groups as it has shingles; see :func:`vector`."""
+        bits = group_bits(int(self.n[i]))
         h = self.h[self.first[i] : self.first[i + 1]]
-        return np.minimum(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16).tobytes()
+        c = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        return c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes()
+
+
+def group_bits(n: int) -> int:
+    return min(10, max(4, n.bit_length() - 3))
+
+
+def vector(raw: bytes, n: int) -> np.ndarray:
+    """The counts of a set of ``n``: one byte each where that is enough, else four."""
+    return np.frombuffer(raw, np.uint8 if len(raw) == 1 << group_bits(n) else np.uint32).astype(np.int64)
 
 
 def folded(vectors: list[np.ndarray]) -> np.ndarray:
@@ -127,7 +135,7 @@ def group_mass(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _points(texts: DataFrame, mass, flags, k: int, percent: int) -> DataFrame:
-    """t1, t2, v (class), n, slabs, counts, coarse: one row per text."""
+    """t1, t2, v (class), n, slabs, counts: one row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text"):
@@ -138,13 +146,12 @@ def _points(texts: DataFrame, mass, flags, k: int, percent: int) -> DataFrame:
             cut = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
             used = cut[1:] > cut[:-1]
             counts = [s.counts(i) if u else None for i, u in enumerate(used)]
-            coarse = [s.counts(i, COARSE_BITS) if u else None for i, u in enumerate(used)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("t1"), batch.column("t2"), pa.array(s.signature().view(np.int64)), pa.array(s.n), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))), pa.array(counts, pa.binary()), pa.array(coarse, pa.binary())],
-                names=["t1", "t2", "v", "n", "slabs", "counts", "coarse"],
+                [batch.column("t1"), batch.column("t2"), pa.array(s.signature().view(np.int64)), pa.array(s.n), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))), pa.array(counts, pa.binary())],
+                names=["t1", "t2", "v", "n", "slabs", "counts"],
             )
 
-    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, v long, n long, slabs array<long>, counts binary, coarse binary")
+    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, v long, n long, slabs array<long>, counts binary")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +163,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             n1, n2 = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
             least = need(n1, n2, percent)
             for i, (x, y) in enumerate(zip(batch.column("c1").to_pylist(), batch.column("c2").to_pylist())):
-                p = folded([np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)])
+                p = folded([vector(x, int(n1[i])), vector(y, int(n2[i]))])
                 if np.minimum(p[0], p[1]).sum() >= least[i]:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
@@ -200,7 +207,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, k: int, per
 def _page_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of points of different components that share a slab and pass the boxes' and their own bounds.
 
-    ``entries``: slab, v, n, coarse, component.  Pages are (slab, size class,
+    ``entries``: slab, v, n, counts, slabs, component.  Pages are (slab, size class,
     salt); the salt follows the count of the slab's points of that size, so a
     page has some PAGE points however large a slab is.
     """
@@ -208,34 +215,39 @@ def _page_pairs(entries: DataFrame, percent: int) -> DataFrame:
     entries = entries.withColumn("band", band)
     sizes = entries.groupBy("slab", "band").agg(F.count("*").alias("m"))
     salted = entries.join(sizes, ["slab", "band"]).withColumn("salt", F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / PAGE).cast("long")))
-    pages = materialize(salted.groupBy("slab", "band", "salt").agg(F.collect_list(F.struct("v", "n", "component", "coarse")).alias("points")))
-    left = pages.select("slab", F.col("band").alias("b1"), F.col("salt").alias("s1"), F.col("points").alias("p1"))
-    right = pages.select("slab", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("b1"), "band", F.col("salt").alias("s2"), F.col("points").alias("p2"))
+    point = F.struct("v", "n", "component", "counts", "slabs")
+    pages = materialize(salted.groupBy("slab", "band", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(point).alias("points")))
+    left = pages.select("slab", F.col("band").alias("b1"), F.col("salt").alias("s1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("points").alias("p1"))
+    right = pages.select("slab", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("b1"), "band", F.col("salt").alias("s2"), "lo", "hi", F.col("points").alias("p2"))
     # A pair lies in one band or in neighbouring ones; pages of one band are paired once.
     met = left.join(right, ["slab", "b1"]).filter((F.col("band") > F.col("b1")) | (F.col("s1") <= F.col("s2")))
+    # Pages that are all of one component have no pair to look at.
+    met = met.filter(F.least("lo", "lo1") < F.greatest("hi", "hi1")).withColumn("one", (F.col("band") == F.col("b1")) & (F.col("s1") == F.col("s2")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for p1, p2 in zip(batch.column("p1").to_pylist(), batch.column("p2").to_pylist()):
-                if len({p["component"] for p in p1} | {p["component"] for p in p2}) < 2:
-                    continue
-                vectors = np.stack([np.frombuffer(p["coarse"], np.uint16).astype(np.int64) for p in p1 + p2])
+            for slab, one, p1, p2 in zip(*(batch.column(c).to_pylist() for c in ("slab", "one", "p1", "p2"))):
+                vectors = folded([vector(p["counts"], p["n"]) for p in p1 + p2])
                 x, y = vectors[: len(p1)], vectors[len(p1) :]
                 n1, n2 = (np.array([p["n"] for p in q]) for q in (p1, p2))
                 if np.minimum(x.max(0), y.max(0)).sum() < need(n1.min(), n2.min(), percent):
                     continue
                 c1, c2 = (np.array([p["component"] for p in q]) for q in (p1, p2))
                 v1, v2 = (np.array([p["v"] for p in q]) for q in (p1, p2))
+                own, other = [set(p["slabs"]) for p in p1], [p["slabs"] for p in p2]
                 for i in range(len(p1)):
                     ok = (c2 != c1[i]) & (n1[i] * percent <= n2 * 100) & (n2 * percent <= n1[i] * 100)
                     ok[ok] = np.minimum(x[i], y[ok]).sum(1) >= need(n1[i], n2[ok], percent)
-                    a += [v1[i]] * int(ok.sum())
-                    b += v2[ok].tolist()
+                    if one:
+                        ok &= v2 > v1[i]
+                    for j in np.flatnonzero(ok):
+                        if min(own[i].intersection(other[j])) == slab:
+                            a.append(min(v1[i], v2[j]))
+                            b.append(max(v1[i], v2[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    pairs = met.select("p1", "p2").mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select("slab", "one", "p1", "p2").mapInArrow(run, "a long, b long")
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int = 27) -> DataFrame:
@@ -261,20 +273,23 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     flags = context.broadcast(repeated(texts, coordinates, bits))
     points = materialize(_points(texts, mass, flags, shingle, percent))
-    shared = points.filter("counts IS NOT NULL").dropDuplicates(["v"])
+    shared = materialize(points.filter("counts IS NOT NULL").dropDuplicates(["v"]).drop("t1", "t2"))
     slabs = materialize(shared.select("v", "n", F.size("slabs").alias("degree"), F.explode("slabs").alias("slab")))
     # The hub of a slab: the point that is in most slabs, so the least particular one.
     hubs = slabs.groupBy("slab").agg(F.max(F.struct("degree", "v", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     near = slabs.join(hubs, "slab").filter((F.col("v") != F.col("hub.v")) & (F.col("n") * percent <= F.col("hub.n") * 100) & (F.col("hub.n") * percent <= F.col("n") * 100))
-    star = near.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
+    star = near.select(F.col("v").alias("a"), F.col("hub.v").alias("b")).distinct()
     star = materialize(_bounded(star, shared, percent))
     links = _verified(star, texts, points, shingle, percent)
-    known = components(links)
+    # Points with one hub are connected: they share its label, and a hub is its own.
+    hubs = links.select(F.col("b").alias("v"), F.col("b").alias("hub"))
+    known = links.select(F.col("a").alias("v"), F.col("b").alias("hub")).unionByName(hubs).groupBy("v").agg(F.max(F.col("v") == F.col("hub")).alias("own"), F.min("hub").alias("hub"))
+    known = known.select("v", F.when(F.col("own"), F.col("v")).otherwise(F.col("hub")).alias("component"))
     labelled = slabs.join(known, "v", "left").withColumn("component", F.coalesce("component", "v"))
     open_slabs = labelled.groupBy("slab").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("slab")
-    entries = labelled.join(open_slabs, "slab").join(shared.select("v", "coarse"), "v").select("slab", "v", "n", "coarse", "component")
-    rest = materialize(_page_pairs(entries, percent))
-    rest = materialize(_bounded(rest.join(star, ["a", "b"], "left_anti"), shared, percent))
+    entries = labelled.join(open_slabs, "slab").join(shared.select("v", "counts", "slabs"), "v").select("slab", "v", "n", "counts", "slabs", "component")
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = materialize(_page_pairs(entries, percent).join(tried, ["a", "b"], "left_anti"))
     more = _verified(rest, texts, points, shingle, percent)
     joined = components(links.unionByName(more))
     classes = points.select("t1", "t2", "v", "n").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
