@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import materialize, small
 from .tokens import Words, rows_of
 
 #: About how many labelled rows the lexicon and the weights are learnt from.
@@ -221,13 +222,18 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 2.0,
 PRIOR = np.array([4.0, 0.5, 0.5, 0.5, 0.5, -2.5])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray]:
-    """Lexicon and weights from some ``sample`` of the rows of ``labelled`` (text, toxic)."""
-    labelled = labelled.filter("text IS NOT NULL AND toxic IN (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
-    share = min(1.0, sample / max(1, labelled.count()))
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit(4), "text"), F.lit(1_000_003)) < int(share * 1_000_003))
+def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """text, toxic: the documents of some ``sample`` labels, picked by hash before any text is read, so that no text is shuffled."""
+    labels = labels.filter("__id IS NOT NULL AND toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
+    share = min(1.0, sample / max(1, labels.count()))
+    chosen = materialize(labels.filter(F.pmod(F.xxhash64(F.lit(4), "__id"), F.lit(1_000_003)) < int(share * 1_000_003)))
+    return materialize(docs.filter("text IS NOT NULL").join(small(chosen, 2 * sample), "__id").select("text", "toxic"))
+
+
+def train(chosen: DataFrame) -> tuple[Lexicon, np.ndarray]:
+    """Lexicon and weights from labelled rows (text, toxic), a bounded number of them."""
     lexicon = Lexicon(learn_lexicon(chosen))
-    shared = labelled.sparkSession.sparkContext.broadcast(lexicon)
+    shared = chosen.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text"):
@@ -248,8 +254,8 @@ def score(docs: DataFrame, labels: DataFrame, train_row: Column, id_col: str = "
     rows count again.  Other columns are not read.
     """
     one = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("toxic"))
-    known = docs.filter(train_row).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(one, "__id").select("text", "toxic")
-    model = docs.sparkSession.sparkContext.broadcast(train(known, sample))
+    known = sampled(docs.filter(train_row).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")), one, sample)
+    model = docs.sparkSession.sparkContext.broadcast(train(known))
     names = [c for c in dict.fromkeys(keep or (id_col,)) if c != text_col or not keep]
     df = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias("__text"))
     whole = keep and text_col in keep  # the text itself is asked for: it passes through as it is
