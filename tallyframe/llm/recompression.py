@@ -1,8 +1,10 @@
 """Substring deduplication by recompression.
 
-Two rounds rename every text's token sequence: a round names maximal runs of
-one symbol, then pairs of neighbours (a left symbol before a right one, the
-alphabet being split by a bit of the symbol's name).  Names are 64-bit hashes
+Rounds rename every text's token sequence: a round names maximal runs of one
+symbol, then pairs of neighbours (a left symbol before a right one, the
+alphabet being split by a bit of the symbol's name).  Each round widens the
+stretch of words that settles a symbol, so their number follows the window
+(:func:`rounds`): as many as leave each window several whole symbols.  Names are 64-bit hashes
 of what they replace, so all tasks give equal token strings equal names without
 meeting; a symbol depends only on a known stretch of words around it.  Inside
 two equal windows, the symbols whose stretch lies inside are therefore equal
@@ -33,10 +35,14 @@ from .filters import passes, repeated
 from .session import discard, materialize
 from .tokens import SPACED, Words, mix, ragged, rows_of, window_starts, windows
 
-WINDOW, ROUNDS = 13, 2
+WINDOW = 13
 _RUN, _PAIR, _SIDE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
+def rounds(window: int) -> int:
+    return max(1, int(np.log2(window / 6)))
+
+
 class Symbols:
     """Symbols over the words of some texts: name, word range, and the word range that settles them.
 
@@ -97,7 +103,7 @@ def anchors(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     if not len(at):
         return at, best, own
     s = Symbols(h, w.row_of(), w.first)
-    for level in range(ROUNDS):
+    for level in range(rounds(window)):
         s.round(level)
         # Symbols are in order, and so are the ranges that settle them: a window holds a stretch of symbols.
         keep = np.flatnonzero(s.high - s.low <= window)
