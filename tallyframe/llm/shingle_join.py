@@ -11,11 +11,13 @@ coordinates.  The index has two levels, both cut by that bound:
   the threshold asks for.  So a point is entered in the slab of each leading
   coordinate, and only slabs with two points matter; a filter of fixed size
   drops the others before any row is shuffled.
-* pages.  A slab's points are packed by size into pages of some 64 with their
-  bounding box: the greatest count in every group, the least and greatest
-  size.  Page pairs are joined inside a slab; the boxes' summed minima rule
-  out a pair of pages at once, and then the points' own ones pairs of points.
-  A pair that shares several slabs is looked at in one of them alone.
+* pages.  A slab of up to 64 points is one page, and its pairs of fitting size
+  go on to their own bound.  A larger slab's points are packed by size into
+  pages of some 64 with their bounding box: the greatest count in every group,
+  the least and greatest size.  Page pairs are joined inside a slab; the
+  boxes' summed minima rule out a pair of pages at once, and then the points'
+  own ones pairs of points.  A pair that shares several larger slabs is looked
+  at in one of them alone.
 
 A tree over all points with boxes alone would have to look at nearly all pairs
 of pages: documents without common text lie equally far from each other, so
@@ -204,8 +206,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, k: int, per
     return found
 
 
+def _small_slab_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of points of different components and fitting sizes in slabs of at most PAGE points, which are one page each.
+
+    ``entries``: slab, v, n, component.  Counts are met later, once for a pair.
+    """
+    pages = entries.groupBy("slab").agg(F.collect_list(F.struct("v", "n", "component")).alias("points"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for points in batch.column("points").to_pylist():
+                v, n, c = (np.array([p[k] for p in points]) for k in ("v", "n", "component"))
+                fit = (v[:, None] < v[None, :]) & (c[:, None] != c[None, :]) & (n[:, None] * percent <= n[None, :] * 100) & (n[None, :] * percent <= n[:, None] * 100)
+                i, j = np.nonzero(fit)
+                a.append(v[i])
+                b.append(v[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return pages.select("points").mapInArrow(run, "a long, b long")
+
+
 def _page_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of points of different components that share a slab and pass the boxes' and their own bounds.
+    """Pairs (a, b) of points of different components that share a larger slab and pass the boxes' and their own bounds.
 
     ``entries``: slab, v, n, counts, slabs, component.  Pages are (slab, size class,
     salt); the salt follows the count of the slab's points of that size, so a
@@ -286,10 +310,17 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = links.select(F.col("a").alias("v"), F.col("b").alias("hub")).unionByName(hubs).groupBy("v").agg(F.max(F.col("v") == F.col("hub")).alias("own"), F.min("hub").alias("hub"))
     known = known.select("v", F.when(F.col("own"), F.col("v")).otherwise(F.col("hub")).alias("component"))
     labelled = slabs.join(known, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    open_slabs = labelled.groupBy("slab").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("slab")
-    entries = labelled.join(open_slabs, "slab").join(shared.select("v", "counts", "slabs"), "v").select("slab", "v", "n", "counts", "slabs", "component")
+    labelled = materialize(labelled.select("slab", "v", "n", "component"))
+    open_slabs = labelled.groupBy("slab").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("slab", "m")
+    entries = materialize(labelled.join(open_slabs, "slab"))
+    discard(labelled)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(_page_pairs(entries, percent).join(tried, ["a", "b"], "left_anti"))
+    few = _small_slab_pairs(entries.filter(F.col("m") <= PAGE), percent)
+    few = materialize(_bounded(few.distinct().join(tried, ["a", "b"], "left_anti"), shared, percent))
+    many = entries.filter(F.col("m") > PAGE).drop("m")
+    many = many.join(many.groupBy("v").agg(F.collect_list("slab").alias("slabs")).join(shared.select("v", "counts"), "v"), "v")
+    many = materialize(_page_pairs(many, percent).join(tried, ["a", "b"], "left_anti"))
+    rest = materialize(few.unionByName(many).distinct())
     more = _verified(rest, texts, points, shingle, percent)
     joined = components(links.unionByName(more))
     classes = points.select("t1", "t2", "v", "n").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
