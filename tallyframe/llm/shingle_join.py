@@ -47,6 +47,8 @@ from .tokens import SPACED, Words, mix, rows_of, window_starts, windows
 SHINGLE, PERCENT = 4, 85
 GROUP_BITS = 19
 PAGE = 64
+#: Bytes of text whose shingles are sorted at once in a task.
+SLICE = 1 << 20
 #: Texts up to which the hashes of those to verify are broadcast.
 BROADCAST_ROWS = 500_000
 _SIGN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -121,7 +123,7 @@ def group_mass(texts: DataFrame, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass = np.zeros(1 << GROUP_BITS, np.int64)
-        for batch in rows_of(batches, "text", 4 << 20):
+        for batch in rows_of(batches, "text", SLICE):
             w = Words(batch.column("text"), SPACED)
             h = windows(w.hashes(), k, seed=k)[window_starts(w.counts, w.first, k)]
             mass += np.bincount((h >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=len(mass))
@@ -140,7 +142,7 @@ def _points(texts: DataFrame, mass, flags, k: int, percent: int) -> DataFrame:
     """t1, t2, v (class), n, slabs, counts: one row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text"):
+        for batch in rows_of(batches, "text", SLICE):
             s = ShingleSets(batch.column("text"), k)
             h, text = s.leading(mass.value, percent)
             hit = passes(flags.value, h)
@@ -183,7 +185,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, k: int, per
     wanted = materialize(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text"):
+        for batch in rows_of(batches, "text", SLICE):
             s = ShingleSets(batch.column("text"), k)
             yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([s.h[a:b].tobytes() for a, b in zip(s.first, s.first[1:])], pa.binary())], names=["v", "set"])
 
@@ -292,7 +294,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mass = context.broadcast(group_mass(texts, shingle))
 
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in rows_of(batches, "text"):
+        for batch in rows_of(batches, "text", SLICE):
             yield ShingleSets(batch.column("text"), shingle).leading(mass.value, percent)[0]
 
     flags = context.broadcast(repeated(texts, coordinates, bits))
