@@ -107,7 +107,9 @@ def anchors(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
         s.round(level)
         # Symbols are in order, and so are the ranges that settle them: a window holds a stretch of symbols.
         keep = np.flatnonzero(s.high - s.low <= window)
-        low, high, name = s.low[keep], s.high[keep], s.name[keep]
+        low, high = s.low[keep], s.high[keep]
+        # The name takes in the settling words: two words alone recur everywhere, these six or so seldom do.
+        name = s.name[keep] ^ _stretch_hashes(h, low, high)[0].view(np.uint64)
         a, b = np.searchsorted(low, at), np.searchsorted(high, at + window, "right")
         found = np.full(len(at), np.uint64(0xFFFFFFFFFFFFFFFF))
         for k in range(int(max(0, (b - a).max(initial=0)))):
