@@ -26,12 +26,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bound_batches
 from .tokens import Words, binary_rows, ragged, rows_of
 
-#: Pieces remembered by a Python worker, of some 200 bytes each.
-CACHE_WORDS = 500_000
-#: Longest piece that is remembered.
-CACHE_BYTES = 64
+#: Bytes that a Python worker spends on remembered pieces, and the longest piece that it remembers.
+CACHE_BYTES, CACHE_PIECE = 48 << 20, 64
+#: What a remembered piece takes besides its own bytes and its tokens'.
+CACHE_ENTRY = 180
+#: Bytes of text that are encoded and decoded at once.
+SLICE = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -91,6 +94,7 @@ class WordBPE:
                 self.matches.add_word(t, i)
         self.matches.make_automaton()
         self.known: dict[bytes, bytes] = {}
+        self.room = CACHE_BYTES
 
     def compatible(self, left: int, right: int, below: int = 1 << 60) -> bool:
         """Whether the merges leave ``left`` and ``right`` side by side (``below``: looking at earlier merges only).
@@ -175,7 +179,11 @@ class WordBPE:
                     out += self._plain(text[at : m.start()]) + [self.special[m[0]]]
                     at = m.end()
             got = np.array(out + self._plain(text[at:]), np.uint32).tobytes()
-            if len(self.known) < CACHE_WORDS and len(raw) <= CACHE_BYTES:
+            if len(raw) <= CACHE_PIECE:
+                self.room -= CACHE_ENTRY + len(raw) + len(got)
+                if self.room < 0:  # start anew, so that the words of now are remembered
+                    self.known.clear()
+                    self.room = CACHE_BYTES - CACHE_ENTRY - len(raw) - len(got)
                 self.known[raw] = got
         return got
 
@@ -184,8 +192,8 @@ class WordBPE:
         w = Words(texts, lower=False)
         if not len(w):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        _, where, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        pieces = [self.piece(w.word(i)) for i in where]
+        which, distinct = w.coded()
+        pieces = [self.piece(x) for x in distinct]
         size = np.array([len(p) for p in pieces], np.int64) // 4
         flat = np.frombuffer(b"".join(pieces), np.uint32)
         counts = size[which]
@@ -225,12 +233,13 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     row of the input gives one row, repeated or null ids included; no other
     column is read.  A long text is a slice of its own.
     """
+    bound_batches(docs.sparkSession)
     names = list(dict.fromkeys(keep or (id_col,)))
     df = docs.select(*names, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, decoder = _loaded(path)
-        for batch in rows_of(batches, "__text", 4 << 20):
+        for batch in rows_of(batches, "__text", SLICE):
             ids, rows = bpe.encode(batch.column("__text"))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(np.diff(rows)), binary_rows(np.ascontiguousarray(ids, "<u4").view(np.uint8), rows * 4), decoder.decode(ids, rows)],

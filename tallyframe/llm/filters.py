@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from .session import partitions
 
 
+#: Bytes of hashes that the owner of a range holds, about.
+RANGE_BYTES = 32 << 20
+
+
+def hash_ranges(df: DataFrame, column: str = "text") -> int:
+    """So many leading bits of a hash that a range of them holds some RANGE_BYTES of the words of ``column``, or windows of them: 8 bytes for each 4 of text at most."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]
+    return max(6, (4 * partitions(df.sparkSession) - 1).bit_length(), (2 * size // RANGE_BYTES).bit_length())
+
+
 def bitmap(df: DataFrame, column: str, bits: int = 23) -> np.ndarray:
     """2**bits flags: the top ``bits`` bits of each hash.  Gathers at most 2**(bits - 6) rows."""
     slot = F.shiftrightunsigned(F.col(column), 64 - bits)
@@ -42,11 +52,10 @@ def repeated(df: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], Iter
     Each array yielded holds a hash at most once for each document.  Tasks
     drop what they have already sent twice in a buffer, pack the rest by hash
     range, and a range's owner finds the repeats; a hash that a third of the
-    rows hold is sent at most twice per buffer.  Ranges follow the number of
-    shuffle partitions, so that one fits a task.
+    rows hold is sent at most twice per buffer.  Ranges follow the bytes of
+    ``text`` (see :func:`hash_ranges`), so that one fits a task.
     """
-    spark = df.sparkSession
-    shift = min(bits - 6, max(6, (4 * partitions(spark) - 1).bit_length()))
+    shift = min(bits - 6, hash_ranges(df))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import discard, materialize, partitions
+from .filters import hash_ranges
+from .session import discard, materialize
 from .tokens import SPACED, Words, ragged, rows_of
 
 #: Most words of the broadcast table (20 bytes each).
@@ -141,7 +142,7 @@ def lattices(pieces: Pieces, words: pa.Array, most: int = 1 << 19) -> Iterator[t
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """h, word, c (training count): all distinct words of ``text``; ``train`` says which rows count."""
-    shift = max(6, (4 * partitions(docs.sparkSession) - 1).bit_length())
+    shift = hash_ranges(docs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text", 8 << 20):

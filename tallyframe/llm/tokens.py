@@ -7,6 +7,7 @@ bytes), so word limits can be found on bytes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,34 +24,22 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: dict[str, np.ndarray] = {}
+_SIZE = np.uint64(0x9E3779B97F4A7C15)
+#: Words beyond so many bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
-    x = x * _MIX1
+    x *= _MIX1
     x ^= x >> np.uint64(27)
     x *= _MIX2
     x ^= x >> np.uint64(31)
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(str(base))
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
-        steps[0] = 1
-        have = _powers[str(base)] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 def rows_of(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts have about ``most`` bytes (a longer single text makes a slice of its own)."""
     for batch in batches:
@@ -100,28 +89,70 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A polynomial hash of each word's bytes, scrambled."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _power(_ODD, n), out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _power(_INVERSE, n)[self.start])
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word's bytes: its 8-byte blocks go through a mixing step one after another.
+
+        Words of up to 8 bytes and one length never collide; two seeds make
+        128 bits.  Memory follows the number of words, not the longest text.
+        """
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64) * _SIZE + np.uint64(seed))
+        if not len(size):
+            return out
+        data = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        blocks = np.ndarray((len(self.data) + 1,), "<u8", data, strides=(1,))  # the 8 bytes from every place on
+        live, at, left = None, self.start, size
+        if size.max() > LONG_WORD:
+            live = np.flatnonzero(size <= LONG_WORD)
+            for i in np.flatnonzero(size > LONG_WORD):
+                raw = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, key=seed.to_bytes(8, "little"))
+                out[i] = int.from_bytes(raw.digest(), "little")
+            at, left = at[live], left[live]
+        while len(left):
+            block = blocks[at]
+            short = left < 8
+            block[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+            if live is None:
+                out = mix(out ^ block)
+            else:
+                out[live] = mix(out[live] ^ block)
+            more = np.flatnonzero(left > 8)
+            live = more if live is None else live[more]
+            at, left = at[more] + 8, left[more] - 8
+        return out
+
+    def coded(self) -> tuple[np.ndarray, list[bytes]]:
+        """Each word's place in a list of the distinct words, told apart by their bytes."""
+        n = len(self.start)
+        if not n:
+            return np.zeros(0, np.int64), []
+        edges = np.empty(2 * n, np.int64)  # words and the gaps between them are entries in turn
+        edges[0::2], edges[1::2] = self.start, self.end
+        data = pa.py_buffer(np.ascontiguousarray(self.data))
+        both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n - 1, [None, pa.py_buffer(edges), data]).dictionary_encode()
+        which = both.indices.to_numpy(zero_copy_only=False)[::2].astype(np.int64)
+        used = np.flatnonzero(np.bincount(which, minlength=len(both.dictionary)))
+        place = np.zeros(len(both.dictionary), np.int64)
+        place[used] = np.arange(len(used))
+        return place[which], both.dictionary.take(pa.array(used)).to_pylist()
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
 def windows(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """Hashes of every run of ``k`` consecutive entries, rows ignored; entry i is the run that starts at i."""
+    """Hashes of every run of ``k`` consecutive entries, rows ignored; entry i is the run that starts at i.
+
+    Each step shifts and multiplies, so it is no polynomial of the entries.
+    """
     m = max(0, len(hashes) - k + 1)
     odd = np.uint64((2 * seed * 0x2545F4914F6CDD1D + 0x9E3779B97F4A7C15) % (1 << 64) | 1)
-    out = np.zeros(m, np.uint64)
+    out = np.full(m, np.uint64(k * 2 + seed), np.uint64)
     for j in range(k):
+        out ^= out >> np.uint64(29)
         out *= odd
         out += hashes[j : j + m]
-    return mix(out + np.uint64(k))
+    return mix(out)
 
 
 def window_starts(counts: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
