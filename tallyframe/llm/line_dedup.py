@@ -115,39 +115,41 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     holding them.  A null or empty text is one empty line and is kept (as an
     empty text).  Rows that repeat an id count as one document and are treated
     alike; a row with a null id keeps all its lines and counts for no key.
+    A line is hashed once, and a text loses its lines by their places, so the
+    work follows the length of a text however many of its lines are lost.
     ``docs`` must have no columns of the three new names.
     """
     spark = docs.sparkSession
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    hashes = F.array_distinct(F.filter(F.transform(lines, lambda x: key_hash(x, min_chars)), lambda h: h.isNotNull()))
-    held = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.explode(hashes).alias("k")).select("__id", "k.h1", "k.h2")
-    ids = docs.select(F.col(id_col).cast("long").alias("__id")).filter(F.col("__id").isNotNull())
-    if not ids.groupBy("__id").count().filter("count > 1").isEmpty():
-        held = held.distinct()
-    held = materialize(held)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.split(text, "\n")
+    row = {"__id": F.col(id_col).cast("long"), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit(1), text)}
+    keyed = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), key_hash(x, min_chars).alias("h"))), lambda k: k["h"].isNotNull())
+    held = docs.filter(F.col(id_col).isNotNull()).select(*(c.alias(n) for n, c in row.items()), F.explode(keyed).alias("k"))
+    held = materialize(held.select(*row, "k.pos", "k.h.h1", "k.h.h2"))
+    ids = docs.select(row["__id"].alias("__id")).filter(F.col("__id").isNotNull())
     edges = ids.approxQuantile("__id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = [None, *sorted(set(edges), reverse=True), None]
     store = LineStore(spark)
-    for high, low in zip(cuts, cuts[1:]):
-        batch = held
-        if high is not None:
-            batch = batch.filter(F.col("__id") <= int(high))
-        if low is not None:
-            batch = batch.filter(F.col("__id") > int(low))
-        store.add(batch.groupBy("h1", "h2").agg(F.max("__id").alias("keeper"), F.count("*").alias("n")))
-    frequent = materialize(store.frequent(min_docs))
-    store.drop()
-    lost = (
-        held.join(frequent, ["h1", "h2"]).filter(F.col("__id") != F.col("keeper"))
-        .groupBy("__id").agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
-    )
-    joined = docs.join(lost, docs[id_col].cast("long") == lost["__id"], "left").drop("__id")
-    kept = F.when(F.col("__lost").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__lost"), key_hash(x, min_chars)), F.lit(False)))
-    )
-    return joined.withColumns({"n_lines": F.size(lines).cast("long"), "__kept": kept}).withColumns(
-        {"n_dropped": F.col("n_lines") - F.size("__kept"), "kept_text": F.array_join("__kept", "\n")}
-    ).drop("__lost", "__kept")
+    try:
+        for high, low in zip(cuts, cuts[1:]):
+            batch = held
+            if high is not None:
+                batch = batch.filter(F.col("__id") <= int(high))
+            if low is not None:
+                batch = batch.filter(F.col("__id") > int(low))
+            once = batch.select("h1", "h2", "__id").distinct()
+            store.add(once.groupBy("h1", "h2").agg(F.max("__id").alias("keeper"), F.count("*").alias("n")))
+        frequent = materialize(store.frequent(min_docs))
+    finally:
+        store.drop()
+    lost = held.join(frequent, ["h1", "h2"]).filter(F.col("__id") != F.col("keeper")).groupBy(*row).agg(F.collect_set("pos").alias("__lost"))
+    joined = docs.withColumns({k: c for k, c in row.items()}).join(lost, list(row), "left").drop(*row)
+    count = F.size(lines)
+    stay = F.array_except(F.sequence(F.lit(0), count - 1), F.col("__lost"))
+    kept = F.when(F.col("__lost").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
+    return joined.withColumn("__lines", lines).withColumns(
+        {"n_lines": count.cast("long"), "n_dropped": F.coalesce(F.size("__lost"), F.lit(0)).cast("long"), "kept_text": kept}
+    ).drop("__lost", "__lines")
 
 
 SQL = r"""
