@@ -109,7 +109,7 @@ def anchors(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
         keep = np.flatnonzero(s.high - s.low <= window)
         low, high = s.low[keep], s.high[keep]
         # The name takes in the settling words: two words alone recur everywhere, these six or so seldom do.
-        name = s.name[keep] ^ _stretch_hashes(h, low, high)[0].view(np.uint64)
+        name = s.name[keep] ^ _settling_names(h, low, high)
         a, b = np.searchsorted(low, at), np.searchsorted(high, at + window, "right")
         found = np.full(len(at), np.uint64(0xFFFFFFFFFFFFFFFF))
         for k in range(int(max(0, (b - a).max(initial=0)))):
@@ -142,17 +142,22 @@ def _digest(raw: bytes) -> str:
     return hashlib.sha256(raw).hexdigest()
 
 
-_STEP, _STEP2 = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC13FA9A902A6328F)
+_STEP = np.uint64(0x9E6C63D0876A9A47)
 
 
-def _stretch_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of the words in each range."""
-    out = []
-    for step in (_STEP, _STEP2):
-        power, back = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(h), x, np.uint64)))) for x in (step, np.uint64(pow(int(step), -1, 1 << 64))))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)))
-        out.append(mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64)).view(np.int64))
-    return out
+def _settling_names(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A name of the words in each range, good enough to rule windows out; what is removed is told by :func:`_stretch_digests`."""
+    power, back = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(h), x, np.uint64)))) for x in (_STEP, np.uint64(pow(int(_STEP), -1, 1 << 64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)))
+    return mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
+
+
+def _stretch_digests(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each range's words by a cryptographic hash, as two columns."""
+    raw = h.tobytes()
+    both = b"".join([hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist())])
+    got = np.frombuffer(both, np.int64).reshape(-1, 2)
+    return got[:, 0].copy(), got[:, 1].copy()
 
 
 def _scan(docs: DataFrame, flags, window: int) -> DataFrame:
@@ -170,7 +175,7 @@ def _scan(docs: DataFrame, flags, window: int) -> DataFrame:
             head = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])) if len(at) else np.zeros(0, bool)
             begin = at[head]
             count = np.diff(np.append(np.flatnonzero(head), len(head)))
-            r1, r2 = _stretch_hashes(h, begin, begin + count + window - 1)
+            r1, r2 = _stretch_digests(h, begin, begin + count + window - 1)
             cut = np.searchsorted(begin, w.first)
             place = begin - np.repeat(w.first[:-1], np.diff(cut))
             found = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(r1), pa.array(r2), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))], ["r1", "r2", "place", "n"]))
