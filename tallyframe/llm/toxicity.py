@@ -244,8 +244,8 @@ def train(chosen: DataFrame) -> tuple[Lexicon, np.ndarray]:
     return lexicon, fit(rows[:, :5], rows[:, 5], PRIOR) if len(rows) else PRIOR
 
 
-def score(docs: DataFrame, labels: DataFrame, train_row: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = (), sample: int = SAMPLE) -> DataFrame:
-    """One row per row of ``docs``: ``keep`` columns (or the id), score from 0 to 1.
+def score(docs: DataFrame, labels: DataFrame, train_row: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = (), sample: int = SAMPLE, score_col: str = "score") -> DataFrame:
+    """One row per row of ``docs``: ``keep`` columns (or the id), ``score_col``: from 0 to 1.
 
     Learns from the rows of ``docs`` that ``labels`` labels 0 or 1 and for
     which ``train_row`` (over ``docs``) holds.  Null and empty texts get the
@@ -266,7 +266,7 @@ def score(docs: DataFrame, labels: DataFrame, train_row: Column, id_col: str = "
             x = document_features(batch.column("__text"), lexicon)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:5] + weights[5], -30, 30)))
             extra = [batch.column("__text")] if whole else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *extra, pa.array(p)], names=[*names, *(["__text"] if whole else []), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *extra, pa.array(p)], names=[*names, *(["__text"] if whole else []), score_col])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in names or (whole and f.name == "__text"))
-    return df.mapInArrow(run, f"{kept}score double").withColumnRenamed("__text", text_col)
+    return df.mapInArrow(run, f"{kept}`{score_col}` double").withColumnRenamed("__text", text_col)
