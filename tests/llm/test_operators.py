@@ -67,6 +67,43 @@ def test_words_and_their_limits():
     assert h[1] == h[2] and len(set(h.tolist())) == 4
 
 
+def thue_morse():
+    """Two words of 1024 letters that no polynomial modulo a power of two tells apart."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_fool_polynomials_stay_apart(spark):
+    a, b = thue_morse()
+    assert len(set(tokens.Words(pa.array([f"{a} {b}"])).hashes().tolist())) == 2
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = bpe.encode_and_decode(docs_of(spark, [(1, f"{a} {b}")]), path).first()
+    assert np.frombuffer(got.ids, "<u4").tolist() == Tokenizer.from_file(path).encode(f"{a} {b}", add_special_tokens=False).ids
+    tail = words(12, 1)
+    texts = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, " ".join(["x", "y"][c == "b"] for c in a)), (4, " ".join(["x", "y"][c == "b"] for c in b))]
+    assert {r.id: r.n_removed for r in recompression.dedup_substrings(docs_of(spark, texts[:2])).collect()} == {1: 0, 2: 0}
+    left, right = (tuple(text_words(x)) for _, x in texts[2:])
+    starts = {left[i : i + 13] for i in range(1012)}
+    gone = {i + j for i in range(1012) if right[i : i + 13] in starts for j in range(13)}
+    assert {r.id: r.n_removed for r in recompression.dedup_substrings(docs_of(spark, texts[2:])).collect()} == {3: 0, 4: len(gone)}
+    assert {r.component_id for r in shingle_join.join_classes(docs_of(spark, texts[:2]), percent=95).collect()} == {1, 2}
+    scores = lattice_lm.score(docs_of(spark, [(1, a), (2, b), (3, f"{a} {a}")]), F.col("doc_id") != 2, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert {r.doc_id: r.n_known for r in scores} == {1: 2, 2: 1, 3: 3}
+
+
+def test_overlaps_compare_words():
+    r = random.Random(8)
+    left = [" ".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(60)]
+    right = [" ".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(60)]
+    both, n1, n2 = shingle_join.overlaps(pa.array(left), pa.array(right), 4)
+
+    def sets(x):
+        w = x.split()
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+
+    assert [(b, a, c) for b, a, c in zip(both, n1, n2)] == [(len(sets(x) & sets(y)), len(sets(x)), len(sets(y))) for x, y in zip(left, right)]
+
+
 def test_bpe_is_the_library_s(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
