@@ -38,10 +38,19 @@ def issues(rules: dict[str, Column]) -> Column:
 
 
 def repeated_ngrams(text: Column, n: int = 20) -> Column:
-    """1 - distinct / all n-word runs of the text's words; null below n words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, 1 - F.size(F.array_distinct(runs)) / F.size(runs))
+    """1 - distinct / all n-word runs of the text's words; null below n words.
+
+    The words are found once and bound to a lambda's variable; runs are told
+    apart by a 64-bit hash, so that none is built as a text and the distinct
+    ones are found by a hash set.
+    """
+
+    def of(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
+        return F.when(F.size(words) >= n, 1 - F.size(F.array_distinct(runs)) / (F.size(words) - n + 1))
+
+    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
+    return F.transform(F.array(found), of)[0]
 
 
 def first_rule(text: Column, rules: dict[str, list[str]], other: str) -> Column:

@@ -44,6 +44,30 @@ def cluster_bootstrap(rows: DataFrame, groups: list[str], cluster: str, value: s
     return point.join(spread, groups) if groups else point.crossJoin(F.broadcast(spread))
 
 
+def paired_bootstrap(pairs: DataFrame, groups: list[str], delta: str, draws: int = 5000, seed: int = SEED) -> DataFrame:
+    """Mean change of outcome (-1, 0 or 1; nulls left out) of each group and its 95 % percentile interval.
+
+    A resample's mean depends on how many ups and downs it drew alone, which
+    is a multinomial draw, so a group is three counts by then, whatever its
+    size.  The generator is seeded by the group.
+    """
+    d = F.col(delta)
+    counts = pairs.filter(d.isNotNull()).groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(d == 1).alias("up"), F.count_if(d == -1).alias("down"))
+    counts = counts.withColumn("h", F.xxhash64(F.lit(seed), *groups))
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            low, high = [], []
+            for r in pdf.itertuples(index=False):
+                got = np.random.default_rng(r.h & 0x7FFFFFFFFFFFFFFF).multinomial(r.n, [r.up / r.n, r.down / r.n, 1 - (r.up + r.down) / r.n], draws)
+                a, b = np.percentile((got[:, 0] - got[:, 1]) / r.n, [2.5, 97.5])
+                low.append(a), high.append(b)
+            yield pdf.assign(mean=(pdf.up - pdf.down) / pdf.n, low=low, high=high).drop(columns="h")
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pairs.schema if f.name in groups)
+    return counts.mapInPandas(draw, f"{kept}n long, up long, down long, mean double, low double, high double")
+
+
 def systematic(df: DataFrame, group: str, key: str, step: int) -> DataFrame:
     """Every ``step``-th row of each group in key order."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).filter(F.col("place") % step == 0)

@@ -43,3 +43,36 @@ def sessions(events: DataFrame, user: str, at: str, gap_seconds: int) -> DataFra
     pause = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))
     numbered = events.withColumn("session", F.sum(F.when(pause.isNull() | (pause > gap_seconds * 1_000_000), 1).otherwise(0)).over(w))
     return numbered.groupBy(user, "session").agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+
+
+def group_holdout(df: DataFrame, group: str, seed: int, n: int) -> DataFrame:
+    """``df`` with ``held_out``: whether its group is among the ``n`` first by hash.  Groups stay whole; a top-n, no global window."""
+    first = df.select(group).filter(F.col(group).isNotNull()).distinct().orderBy(hash_key(seed, F.col(group)), group).limit(n)
+    return df.join(first.withColumn("__held", F.lit(True)), group, "left").withColumn("held_out", F.col("__held").isNotNull()).drop("__held")
+
+
+def quotas(sizes: dict[str, int], total: int) -> dict[str, int]:
+    """Shares of ``total`` in proportion to the strata's sizes, one at least and no more than a stratum has.
+
+    With more strata than places the largest get one each.
+    """
+    names = sorted(sizes, key=lambda k: (-sizes[k], k))
+    if len(names) >= total:
+        return {k: int(i < total) for i, k in enumerate(names)}
+    whole = sum(sizes.values())
+    exact = {k: sizes[k] * total / whole for k in names}
+    out = {k: min(sizes[k], max(1, int(exact[k]))) for k in names}
+    while sum(out.values()) != min(total, whole):
+        short = sum(out.values()) < min(total, whole)
+        able = [k for k in names if (out[k] < sizes[k] if short else out[k] > 1)]
+        best = (max if short else min)(able, key=lambda k: (exact[k] - out[k], sizes[k]))
+        out[best] += 1 if short else -1
+    return out
+
+
+def stratified(df: DataFrame, stratum: str, key: str, seed: int, total: int) -> DataFrame:
+    """``total`` rows over the strata by :func:`quotas`, the first by hash in each; strata are few and counted first."""
+    sizes = {str(r[0]): r[1] for r in df.groupBy(stratum).count().collect()}
+    table = df.sparkSession.createDataFrame(list(quotas(sizes, total).items()) or [("", 0)], f"`{stratum}` string, quota int")
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_key(seed, F.col(key)), key))
+    return df.join(F.broadcast(table), stratum).withColumn("rank", rank).filter(F.col("rank") <= F.col("quota")).drop("quota")

@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -41,5 +42,5 @@ def same(df, con, sql):
     want = con.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
-    rows = [sorted((tuple(None if x is None or x != x else x for x in r) for r in f[cols].astype(object).itertuples(index=False)), key=repr) for f in (got, want)]
+    rows = [sorted((tuple(None if x is None or x is pd.NA or x != x else x for x in r) for r in f[cols].astype(object).itertuples(index=False)), key=repr) for f in (got, want)]
     assert rows[0] == rows[1]
