@@ -1,19 +1,23 @@
 """Embedding near-dedup with randomised binary codes.
 
-Vectors are scaled to length one and turned by seeded random rotations.  The
-signs of a rotated vector are its code; a stored factor, the inner product of
-the vector with its own code, makes code times query an unbiased estimate of
-the inner product, with a known spread.  A pair is recomputed in double
-precision only where the estimate's upper confidence bound reaches the
-threshold.
-
-Candidates come from tables keyed by runs of code bits; their number and width
+Vectors are scaled to length one and turned by seeded random rotations, once
+each, into a row of the code table: the signs of the rotated vector as bits
+(its code), the correction factor, which is the inner product of the vector
+with its own code, and the rotated vector rounded at random to BITS bits, kept
+as planes of bits.  Code times planes over the factor is an unbiased estimate
+of the inner product of two vectors, counted on bits alone, and its spread is
+known.  Only where the upper confidence bound of a pair reaches the threshold
+are the two vectors fetched and multiplied in double precision.
+
+Candidates come from tables keyed by runs of sign bits; their number and width
 follow from the number of vectors, so that a pair just at the threshold is
 missed by all tables with a chance of at most MISS (pairs well above it are
 hardly ever missed), while unrelated vectors seldom meet.  Equal vectors are
 one class with a weight.  A large bucket is dealt into blocks and its pairs of
-blocks into tasks, which give back link counts and a spanning forest, never
-the pairs; a pair that meets in several tables counts in the first.
+blocks into tasks.  These pass on which of their members are in a possible
+pair, and the pairs as one bit each; what is left of a pair of blocks, with
+its vectors, gives link counts and a spanning forest, never the pairs.  A pair
+that meets in several tables counts in the first.
 """
 
 from __future__ import annotations
@@ -27,16 +31,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .session import materialize
+from .session import discard, materialize
 
 COSINE = 0.95
 MISS = 0.02
 BLOCK = 256
+#: Bits of a coordinate of the rotated vector that codes are multiplied with.
+BITS = 4
 #: Spreads of an estimate allowed before a pair is ruled out.
 CONFIDENCE = 4.0
 SEED = 20240229
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words, padded with zeros."""
+    packed = np.packbits(bits, axis=-1, bitorder="little")
+    pad = -packed.shape[-1] % 8
+    return np.ascontiguousarray(np.pad(packed, [(0, 0)] * (packed.ndim - 1) + [(0, pad)])).view("<i8")
+
+
 class Codes:
     """Rotations for vectors of ``dim`` numbers, and the tables' bits."""
 
@@ -48,26 +61,45 @@ class Codes:
         turns = -(-self.width * self.tables // dim) if dim >= self.width else self.tables * self.width
         rng = np.random.default_rng(SEED + dim)
         self.rotations = np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(max(1, turns))])
+        self.dither = rng.random(dim)
         self.dim = dim
+        self.words = -(-dim // 64)
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """The key of each vector (row) in each table (column)."""
         bits = (unit @ self.rotations.T > 0)[:, : self.width * self.tables].reshape(len(unit), self.tables, self.width)
         return bits @ (np.int64(1) << np.arange(self.width, dtype=np.int64))
 
-    def code(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First rotation: rotated vectors, their signs, and the factor of each."""
+    def code(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the first rotation: words of the code and of each plane, lowest first; factor, least coordinate and step of each vector."""
         turned = unit @ self.rotations[: self.dim].T
-        signs = np.where(turned > 0, 1.0, -1.0)
-        return turned, signs, np.abs(turned).sum(1) / math.sqrt(self.dim)
-
-    def possible(self, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
-        """Pairs whose estimate's upper bound reaches the threshold: exact rows of ``a`` against codes of ``b``."""
-        turned, _, _ = self.code(a)
-        _, signs, factor = self.code(b)
-        estimate = (turned @ signs.T) / math.sqrt(self.dim) / factor
-        spread = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(1, self.dim - 1))
-        return estimate + CONFIDENCE * spread >= cosine
+        factor = np.abs(turned).sum(1) / math.sqrt(self.dim)
+        low, most = turned.min(1), (1 << BITS) - 1
+        step = (turned.max(1) - low) / most
+        rounded = np.clip(np.floor((turned - low[:, None]) / np.where(step > 0, step, 1.0)[:, None] + self.dither), 0, most).astype(np.int64)
+        planes = [_words(rounded >> b & 1) for b in range(BITS)]
+        return np.concatenate([_words(turned > 0), *planes], 1), np.column_stack((factor, low, step))
+
+    def estimate(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For codes of ``a`` (rows) and planes of ``b`` (columns): estimates of the inner products, and the spread that rounding gives them."""
+        # Unsigned: of a negative number the bits of its absolute value would be counted.
+        signs, planes = a[0][:, : self.words].astype(np.uint64), b[0][:, self.words :].reshape(-1, BITS, self.words).astype(np.uint64)
+        factor, low, step = a[1][:, :1], b[1][None, :, 1], b[1][None, :, 2]
+        hit, whole = np.zeros((len(signs), len(planes)), np.int64), np.zeros(len(planes), np.int64)
+        for bit in range(BITS):
+            for w in range(self.words):
+                hit += np.bitwise_count(signs[:, w, None] & planes[None, :, bit, w]).astype(np.int64) << bit
+                whole += np.bitwise_count(planes[:, bit, w]).astype(np.int64) << bit
+        ones = np.bitwise_count(signs).sum(1, dtype=np.int64)[:, None]
+        product = (2 * (low * ones + step * hit) - low * self.dim - step * whole) / math.sqrt(self.dim)
+        return product / factor, step / 2 / factor
+
+    def possible(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cosine: float) -> np.ndarray:
+        """Pairs that may reach the threshold: the estimate's distance from an inner product c is in proportion to the root of 1 - c * c, so the bound at the threshold holds above it too."""
+        estimate, rounding = self.estimate(a, b)
+        factor = np.minimum(a[1][:, :1], 1.0)
+        turning = (1 - factor**2) / factor**2 / max(1, self.dim - 1) * (1 - cosine**2)
+        return estimate + CONFIDENCE * np.sqrt(turning + rounding**2) >= cosine - 1e-9
 
 
 def unit_rows(vectors: pa.Array) -> list[np.ndarray | None]:
@@ -111,10 +143,12 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     for p in parts[1:]:
         found = found.unionByName(p)
     found = materialize(found)
+    discard(*parts)
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     joined = components(found.filter("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b")))
     labelled = classes.select("e1", "e2", "v", "weight", "least").join(links, "v", "left").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
     labelled = materialize(labelled)
+    discard(found, classes)
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     labelled = labelled.join(names, "component").select("e1", "e2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     # Bad vectors are told apart by their own hash: no class of good ones has it.
@@ -123,59 +157,94 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     ).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
+def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For a column of lists of structs: where each list begins (and the last ends), and the fields' numbers, one row for each struct."""
+    sizes = np.array(column.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    flat = column.flatten()
+    out = []
+    for name in fields:
+        part = flat.field(name)
+        values = part.flatten() if pa.types.is_list(part.type) else part
+        values = values.to_numpy(zero_copy_only=False)
+        out.append(values.reshape(len(flat), -1) if pa.types.is_list(part.type) and len(flat) else values)
+    return np.concatenate(([0], np.cumsum(sizes))), out
+
+
 def _dimension(classes: DataFrame, codes: Codes, cosine: float) -> DataFrame:
     """v, links (weights of the classes it links to), root (a class that it is joined to), for one dimension."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                keys = codes.keys(np.stack(unit_rows(part.column("x"))))
-                table = np.tile(np.arange(codes.tables), len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("v").to_numpy(), codes.tables)), pa.array(table), pa.array(keys.ravel())], names=["v", "t", "k"])
+                unit = np.stack(unit_rows(part.column("x")))
+                code, stats = codes.code(unit)
+                yield pa.RecordBatch.from_arrays([part.column("v"), pa.array(list(code)), pa.array(list(stats)), pa.array(list(codes.keys(unit)))], names=["v", "c", "s", "keys"])
 
-    entries = materialize(classes.select("v", "x").mapInArrow(keyed, "v long, t long, k long"))
+    table = materialize(classes.select("v", "x").mapInArrow(coded, "v long, c array<long>, s array<double>, keys array<long>"))
+    entries = table.select("v", F.posexplode("keys").alias("t", "k"))
     shared = entries.groupBy("t", "k").agg(F.count("*").alias("m")).filter("m > 1")
-    dealt = entries.join(shared, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / BLOCK).cast("long")))
-    held = dealt.join(classes, "v").groupBy("t", "k", "block").agg(F.max("m").alias("m"), F.collect_list(F.struct("v", "weight", "x")).alias("p"))
-    held = materialize(held)
+    dealt = entries.join(shared, ["t", "k"]).select("v", "t", "k", F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / BLOCK).cast("long")).alias("block"))
+    held = materialize(dealt.join(table.drop("keys"), "v").groupBy("t", "k", "block").agg(F.collect_list(F.struct("v", "c", "s")).alias("p")))
     others = held.select("t", "k", F.col("block").alias("block2"), F.col("p").alias("q"))
-    pairs = held.select("t", "k", "block", "p").join(others, ["t", "k"]).filter("block <= block2")
+    pairs = held.join(others, ["t", "k"]).filter("block <= block2").select("t", "k", "block", "block2", "p", "q")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, links, root = [], [], []
-            cols = (batch.column(c).to_pylist() for c in ("t", "block", "block2", "p", "q"))
-            for t, b1, b2, p, q in zip(*cols):
-                if b1 == b2 and len(p) < 2:
+            (at1, (v1, c1, s1)), (at2, (v2, c2, s2)) = (_lists(batch.column(side), "v", "c", "s") for side in ("p", "q"))
+            same = (batch.column("block").to_numpy() == batch.column("block2").to_numpy()).tolist()
+            rows, left, right, mask = [], [], [], []
+            for r in range(batch.num_rows):
+                i, j = slice(at1[r], at1[r + 1]), slice(at2[r], at2[r + 1])
+                if same[r] and at1[r + 1] - at1[r] < 2:
                     continue
-                x, y = (np.array([r["x"] for r in s], float) for s in (p, q))
-                x, y = (s / np.abs(s).max(1, keepdims=True) for s in (x, y))  # so that no square overflows
-                x, y = (s / np.linalg.norm(s, axis=1, keepdims=True) for s in (x, y))
-                ok = codes.possible(x, y, cosine)
-                if b1 == b2:
-                    ok &= ~np.eye(len(x), dtype=bool)
-                    ok |= ok.T
+                ok = codes.possible((c1[i], s1[i]), (c2[j], s2[j]), cosine)
+                if same[r]:  # one block on both sides, in one order: each pair once
+                    ok = np.triu(ok | ok.T, 1)
                 if not ok.any():
                     continue
-                i, j = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-                x, y = x[i], y[j]
-                link = ok[np.ix_(i, j)] & (x @ y.T >= cosine)
-                first = codes.keys(x)[:, None, :t] == codes.keys(y)[None, :, :t] if t else np.zeros((len(i), len(j), 0), bool)
-                link &= ~first.any(2)
+                a, b = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+                rows.append(r)
+                left.append(v1[i][a])
+                right.append(v2[j][b])
+                mask.append(np.packbits(ok[np.ix_(a, b)]).tobytes())
+            kept = batch.select(["t", "k", "block", "block2"]).take(pa.array(rows, pa.int64()))
+            ids = [pa.array(side, pa.list_(pa.int64())) for side in (left, right)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *ids, pa.array(mask, pa.binary())], names=["t", "k", "block", "block2", "left", "right", "mask"])
+
+    found = pairs.mapInArrow(estimate, "t int, k long, block long, block2 long, left array<long>, right array<long>, mask binary")
+    found = materialize(found.withColumn("pair", F.monotonically_increasing_id()))
+    discard(held)
+    members = found.select("pair", F.explode(F.array_union("left", "right")).alias("v"))
+    # Whole vectors move only for what may be linked.
+    fetched = members.join(classes.join(table.select("v", "keys"), "v"), "v").groupBy("pair").agg(F.collect_list(F.struct("v", "weight", "x", "keys")).alias("p"))
+    fetched = found.select("pair", "t", "left", "right", "mask").join(fetched, "pair").select("t", "left", "right", "mask", "p")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, links, root = [], [], []
+            at, (names, weights, xs, keys) = _lists(batch.column("p"), "v", "weight", "x", "keys")
+            for r, (t, left, right, mask) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t", "left", "right", "mask")))):
+                own = slice(at[r], at[r + 1])
+                order = np.argsort(names[own])
+                v1, v2 = np.array(left), np.array(right)
+                i, j = (at[r] + order[np.searchsorted(names[own], side, sorter=order)] for side in (v1, v2))
+                x, y = (s / np.abs(s).max(1, keepdims=True) for s in (xs[i].astype(float), xs[j].astype(float)))  # so that no square overflows
+                x, y = (s / np.linalg.norm(s, axis=1, keepdims=True) for s in (x, y))
+                link = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(v1) * len(v2)).reshape(len(v1), len(v2)).astype(bool)
+                link &= x @ y.T >= cosine
+                for earlier in range(t):
+                    link &= keys[i, earlier][:, None] != keys[j, earlier][None, :]
                 if not link.any():
                     continue
-                v1, v2 = np.array([p[a]["v"] for a in i]), np.array([q[a]["v"] for a in j])
-                w1, w2 = np.array([p[a]["weight"] for a in i]), np.array([q[a]["weight"] for a in j])
                 r1, r2 = _joined(link)
                 name = np.concatenate((v1, v2))
-                on1, on2 = link.any(1), link.any(0)
-                v += v1[on1].tolist()
-                links += (link @ w2)[on1].tolist()
-                root += name[r1][on1].tolist()
-                v += v2[on2].tolist()
-                links += ((w1 @ link)[on2] if b1 != b2 else np.zeros(on2.sum(), int)).tolist()
-                root += name[r2][on2].tolist()
+                for ids, on, count, part in ((v1, link.any(1), link @ weights[j], r1), (v2, link.any(0), weights[i] @ link, r2)):
+                    v += ids[on].tolist()
+                    links += count[on].tolist()
+                    root += name[part][on].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(links, pa.int64()), pa.array(root, pa.int64())], names=["v", "links", "root"])
 
-    return pairs.mapInArrow(compare, "v long, links long, root long")
+    out = materialize(fetched.mapInArrow(compare, "v long, links long, root long"))
+    discard(table, found)
+    return out

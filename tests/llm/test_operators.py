@@ -247,13 +247,30 @@ def test_estimates_of_inner_products_are_unbiased_and_bounded():
     rng = np.random.default_rng(2)
     codes = near_vectors.Codes(64, 1000, 0.95, 0.02)
     a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 300, 64)))
-    turned = codes.code(a)[0]
-    _, signs, factor = codes.code(b)
-    error = turned @ signs.T / 8 / factor - a @ b.T
+    error = codes.estimate(codes.code(a), codes.code(b))[0] - a @ b.T
     assert abs(error.mean()) < 0.005
     near = a + 0.02 * rng.standard_normal(a.shape)
     near /= np.linalg.norm(near, axis=1, keepdims=True)
-    assert all(codes.possible(a[i : i + 1], near[i : i + 1], 0.95)[0, 0] for i in range(300) if a[i] @ near[i] >= 0.95)
+    may = codes.possible(codes.code(a), codes.code(near), 0.95)
+    assert all(may[i, i] for i in range(300) if a[i] @ near[i] >= 0.95)
+    assert may.sum() < 1000  # of 90,000 pairs
+
+
+def test_near_vectors_recall(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((19_000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((1000, 48))
+    side -= (side * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.97, (1000, 1))
+    x = np.concatenate((x, cosine * x[:1000] + np.sqrt(1 - cosine**2) * side))
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = near_vectors.near_links(df).filter("n_links > 0").collect()
+    assert len(want) >= 1000 and sum(r.n_links for r in got) >= 2 * 0.95 * len(want)
+    linked = {i for pair in want for i in pair}
+    assert {r.id for r in got} <= linked
 
 
 def test_lattice_forward_sums_over_all_segmentations():
