@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become classes: insult and threat words with weights, words for whoever
-is addressed, negations, words of reporting.  Small transducers read a clause's
-classes, each with its own state (how far back the last negation was, whether
-speech is being reported, whether someone has been addressed) and are composed
-into one machine; it gives every insult or threat the weight of its context,
-as meant, as negated or as reported.  Clauses are scored, not words: a clause's
-score is the greatest of each kind, and a document's features are the greatest
-clause scores and the number of matched clauses.
+is addressed, negations, words of reporting.  Five weighted transducers are
+composed into one machine that reads a clause's classes.  The insult and the
+threat transducer (their union comes first) pick one word as the match and
+pass the others on; negation and reported speech rewrite the match where it is
+within their reach; the target transducer writes how the match is said and
+weighs the clause, and ends a threat only where someone is addressed.  A
+clause's score of each kind (meant, negated, reported) is the greatest weight
+of a path through that machine.  A document's features are the greatest clause
+scores and the number of matched clauses.
 
 Insult words beyond the seeds, and stems of them, are learnt from a bounded
 sample of labelled rows, and so is the logistic weight of each feature, with a
@@ -16,7 +18,6 @@ prior that trusts what is meant more than what is negated or reported.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from .tokens import Words, rows_of
 #: About how many labelled rows the lexicon and the weights are learnt from.
 SAMPLE = 40_000
 #: A learnt word or stem is in at least so many toxic rows, which are at least this share of all its rows.
-LEAST_ROWS, LEAST_SHARE, MOST_LEARNT = 5, 0.7, 4000
+LEAST_ROWS, LEAST_SHARE = 5, 0.7
 THRESHOLD = 0.3
 
 INSULTS = "idiot idiots moron morons loser losers stupid worthless pathetic scum trash clown clowns disgusting imbecile fool fools dumb garbage vermin idioten dummkopf arschloch trottel abschaum idiote imbécile connard ordure crétin idiota estúpido imbécil basura escoria".split()
@@ -44,67 +45,121 @@ REPORTS = "said says say called calls wrote writes quoted quote claimed reported
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(97, 123), 39, *range(128, 256)]] = True
 STEMS = (4, 5, 6)
-_CLAUSE = re.compile(rb"[.!?;:\n]")
+#: Bytes that end a clause.
+_CUT = np.zeros(256, bool)
+_CUT[list(b".!?;:\n")] = True
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-MEANT, NEGATED, REPORTED = range(3)
+CLASSES = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = tuple(range(6))
+KINDS = MEANT, NEGATED, REPORTED = tuple(range(3))
+#: What a clause's one matched word is rewritten to: its class and how it is said.
+MATCHES = tuple((c, kind) for c in (INSULT, THREAT) for kind in KINDS)
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic machine over word classes: ``step[state][class]`` -> (state, mark)."""
+    """A weighted machine that begins in state 0: ``arcs[state][symbol]`` -> (output, weight, state), ...; ``final[state]``: the weight of ending there, 0 if it may not."""
 
-    step: tuple[tuple[tuple[int, tuple], ...], ...]
+    arcs: tuple[dict, ...]
+    final: tuple[float, ...]
+
+    def union(self, other: Transducer) -> Transducer:
+        """Whatever either machine reads."""
+
+        def moved(outs: tuple, by: int) -> tuple:
+            return tuple((o, w, s + by) for o, w, s in outs)
+
+        here, there = 1, 1 + len(self.arcs)
+        start = {c: moved(self.arcs[0].get(c, ()), here) + moved(other.arcs[0].get(c, ()), there) for c in self.arcs[0] | other.arcs[0]}
+        rest = [{c: moved(outs, by) for c, outs in row.items()} for machine, by in ((self, here), (other, there)) for row in machine.arcs]
+        return Transducer((start, *rest), (max(self.final[0], other.final[0]), *self.final, *other.final))
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both machines side by side: pairs of states, marks joined."""
-        n = len(other.step)
-        return Transducer(
-            tuple(
-                tuple((s * n + t, m + o) for (s, m), (t, o) in zip(self.step[a], other.step[b]))
-                for a in range(len(self.step)) for b in range(n)
-            )
-        )
+        """``other`` reads what this machine writes; weights multiply.  Only states that can be reached are kept."""
+        names, arcs = {(0, 0): 0}, []
+        for a, b in (order := [(0, 0)]):
+            row = {}
+            for symbol, outs in self.arcs[a].items():
+                row[symbol] = ()
+                for middle, w, a2 in outs:
+                    for out, x, b2 in other.arcs[b].get(middle, ()):
+                        if (a2, b2) not in names:
+                            names[a2, b2] = len(names)
+                            order.append((a2, b2))
+                        row[symbol] += ((out, w * x, names[a2, b2]),)
+            arcs.append(row)
+        return Transducer(tuple(arcs), tuple(self.final[a] * other.final[b] for a, b in order))
+
+
+def one_of(wanted: int, weight: float) -> Transducer:
+    """Matches one word of a class, whichever; other insults and threats become plain words."""
+    plain = {c: OTHER if c in (INSULT, THREAT) else c for c in CLASSES}
+    before, after = ({c: ((plain[c], 1.0, s),) for c in CLASSES} for s in (0, 1))
+    before[wanted] += (((wanted, MEANT), weight, 1),)
+    return Transducer((before, after), (0.0, 1.0))
+
+
+def insult() -> Transducer:
+    return one_of(INSULT, 1.0)
+
+
+def threat() -> Transducer:
+    return one_of(THREAT, 0.8)
 
 
 def negation(reach: int = 3) -> Transducer:
-    """State: how many words the last negation still reaches; marks whether a word is reached."""
-    return Transducer(tuple(tuple((reach if c == NEGATION else max(0, s - 1), (s > 0,)) for c in range(6)) for s in range(reach + 1)))
+    """A match among the ``reach`` words after a negation is negated.  State: how far the last one still reaches, then: matched."""
+    done = reach + 1
+    rows = [{c: ((c, 1.0, reach if c == NEGATION else max(0, s - 1)),) for c in CLASSES} | {m: (((m[0], NEGATED if s else m[1]), 1.0, done),) for m in MATCHES} for s in range(done)]
+    return Transducer((*rows, {c: ((c, 1.0, done),) for c in CLASSES}), (1.0,) * (done + 1))
 
 
 def reported_speech() -> Transducer:
-    """State: whether a word of reporting has come up in the clause."""
-    return Transducer(tuple(tuple((int(s or c == REPORT), (bool(s),)) for c in range(6)) for s in range(2)))
+    """A match after a word of reporting is reported, negated or not.  State: such a word has come up, then: matched."""
+    rows = [{c: ((c, 1.0, int(s or c == REPORT)),) for c in CLASSES} | {m: (((m[0], REPORTED if s else m[1]), 1.0, 2),) for m in MATCHES} for s in (0, 1)]
+    return Transducer((*rows, {c: ((c, 1.0, 2),) for c in CLASSES}), (1.0,) * 3)
 
 
-def target() -> Transducer:
-    """State: whether someone has been addressed or spoken of."""
-    return Transducer(tuple(tuple((int(s or c == TARGET), (bool(s),)) for c in range(6)) for s in range(2)))
+def target(more: float = 1.25) -> Transducer:
+    """Writes how the match is said.  A clause that addresses or speaks of someone, before the match or after it, weighs more; a threat needs that."""
+    unseen, seen, insulted, threatened, both = range(5)
+    after = {unseen: seen, seen: seen, insulted: both, threatened: both, both: both}
+    rows = [{c: ((None, 1.0, after[s] if c == TARGET else s),) for c in CLASSES} for s in range(5)]
+    for m in MATCHES:
+        rows[unseen][m] = ((m[1], 1.0, insulted if m[0] == INSULT else threatened),)
+        rows[seen][m] = ((m[1], 1.0, both),)
+    return Transducer(tuple(rows), (0.0, 0.0, 1.0, 0.0, more))
 
 
-GRAMMAR = negation().compose(reported_speech()).compose(target())
+REACH = 3
+GRAMMAR = insult().union(threat()).compose(negation(REACH)).compose(reported_speech()).compose(target())
 
 
 def clause_score(classes: list[int], weights: list[float]) -> tuple[float, float, float]:
-    """The greatest weight of an insult or a threat in a clause as meant, negated and reported.
-
-    A threat counts only with someone addressed; an insult weighs more then.
-    """
-    state, out = 0, [0.0, 0.0, 0.0]
-    addressed = TARGET in classes
-    for c, w in zip(classes, weights):
-        state, (negated, reported, _) = GRAMMAR.step[state][c]
-        if c == INSULT or (c == THREAT and addressed):
-            kind = REPORTED if reported else NEGATED if negated else MEANT
-            out[kind] = max(out[kind], w * (1.25 if addressed else 1.0))
-    return out[0], out[1], out[2]
+    """The greatest weight of a path of the grammar through a clause that ends in a meant, a negated and a reported match; a word's own weight counts where it is matched."""
+    paths, plain = {(0, None): 1.0}, 0
+    for c, own in zip(classes, weights):
+        plain = plain + 1 if c == OTHER else 0
+        if plain > REACH:  # no state is left that one more plain word changes
+            continue
+        after: dict = {}
+        for (state, kind), w in paths.items():
+            for out, x, to in GRAMMAR.arcs[state][c]:
+                key, gain = ((to, kind), w * x) if out is None else ((to, out), w * x * own)
+                if gain > after.get(key, 0.0):
+                    after[key] = gain
+        paths = after
+    best = [0.0, 0.0, 0.0]
+    for (state, kind), w in paths.items():
+        if kind is not None:
+            best[kind] = max(best[kind], w * GRAMMAR.final[state])
+    return best[0], best[1], best[2]
 
 
 class Lexicon:
     """Hashes of words and stems with their weights."""
 
     def __init__(self, learnt: dict[int, float]):
-        weights = {int(h): 1.0 for h in _hashes(INSULTS)} | {int(h): 0.8 for h in _hashes(THREATS)} | learnt
+        weights = {int(h): 1.0 for h in _hashes(INSULTS + THREATS)} | learnt
         self.h = np.array(sorted(weights), np.uint64)
         self.w = np.array([weights[int(h)] for h in self.h])
         self.threats = set(_hashes(THREATS).tolist())
@@ -144,17 +199,15 @@ def document_features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     row = np.searchsorted(w.first, hit, "right") - 1
     threat = np.isin(word[hit], np.array(sorted(lexicon.threats), np.uint64))
     raw = w.data.tobytes()
+    cuts = np.flatnonzero(_CUT[w.data])
+    cut = np.searchsorted(cuts, w.start[hit])
+    cuts = np.concatenate((cuts, [len(w.data), -1]))  # the last one is before the first
+    low, high = np.maximum(w.rows[row], cuts[cut - 1] + 1), np.minimum(w.rows[row + 1], cuts[cut])
+    low, high = np.searchsorted(w.start, low), np.searchsorted(w.start, high)
     at = 0
     matched = np.zeros(len(texts), np.int64)
     while at < len(hit):
-        r = row[at]
-        a, b = int(w.rows[r]), int(w.rows[r + 1])
-        begin = int(w.start[hit[at]])
-        cuts = [raw.rfind(c, a, begin) for c in (b".", b"!", b"?", b";", b":", b"\n")]
-        low = max(a, max(cuts) + 1)
-        stop = _CLAUSE.search(raw, begin, b)
-        high = stop.start() if stop else b
-        i, j = np.searchsorted(w.start, low), np.searchsorted(w.start, high)
+        r, i, j = row[at], low[at], high[at]
         upto = at + 1
         while upto < len(hit) and hit[upto] < j:
             upto += 1
@@ -193,7 +246,7 @@ def _counted(texts: DataFrame, wanted) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame) -> dict[int, float]:
-    """Words and stems of toxic rows that other rows seldom have, and their weights; at most MOST_LEARNT."""
+    """Words and stems of toxic rows that other rows seldom have, and their weights; the sample bounds how many."""
     toxic = _counted(sample.filter("toxic = 1"), None).filter(F.col("n") >= LEAST_ROWS).toPandas()  # bounded by the sample
     if not len(toxic):
         return {}
@@ -201,9 +254,8 @@ def learn_lexicon(sample: DataFrame) -> dict[int, float]:
     context = sample.sparkSession.sparkContext
     clean = _counted(sample.filter("toxic = 0"), context.broadcast(np.sort(h))).toPandas()
     n = dict(zip(clean["h"].to_numpy(np.int64).view(np.uint64).tolist(), clean["n"]))
-    rows = [(p / (p + n.get(k, 0)), p, k) for k, p in zip(h.tolist(), toxic["n"])]
-    rows = sorted((r for r in rows if r[0] >= LEAST_SHARE), key=lambda r: (-r[0] * np.log1p(r[1]), r[2]))[:MOST_LEARNT]
-    return {k: float(share) for share, _, k in rows}
+    shares = {k: p / (p + n.get(k, 0)) for k, p in zip(h.tolist(), toxic["n"])}
+    return {k: float(share) for k, share in shares.items() if share >= LEAST_SHARE}
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 2.0, rounds: int = 30) -> np.ndarray:
@@ -249,7 +301,8 @@ def score(docs: DataFrame, labels: DataFrame, train_row: Column, id_col: str = "
 
     Learns from the rows of ``docs`` that ``labels`` labels 0 or 1 and for
     which ``train_row`` (over ``docs``) holds.  Null and empty texts get the
-    score of a text without matches.  Without labels the seeds and the prior
+    score of a text without matches.  Long texts are read whole, in time linear in
+    their length.  A clause that ties in weight keeps that weight.  Without labels the seeds and the prior
     stand.  Repeated ids and nulls are scored row by row; a label's repeated
     rows count again.  Other columns are not read.
     """

@@ -362,6 +362,29 @@ def test_grammar_tells_meant_negated_and_reported_apart():
     assert c.clause_score([c.TARGET, c.NEGATION, c.OTHER, c.INSULT], [0, 0, 0, 1.0]) == (0, 1.25, 0)
     assert c.clause_score([c.OTHER, c.REPORT, c.TARGET, c.INSULT], [0, 0, 0, 1.0]) == (0, 0, 1.25)
     assert c.clause_score([c.OTHER, c.THREAT], [0, 0.8]) == (0, 0, 0)
+    assert c.clause_score([], []) == (0, 0, 0)
+
+
+def test_grammar_is_the_rule_that_it_composes():
+    """Against the rule in plain words: each insult or threat on its own, what comes before it, who is addressed anywhere in the clause."""
+    c, rng = toxicity, random.Random(9)
+    for _ in range(3000):
+        classes = rng.choices(c.CLASSES, weights=[5, 2, 2, rng.choice([0, 1]), 1, 0.3], k=rng.randint(0, 14))
+        own = [rng.choice([0.7, 0.9, 1.0]) if k in (c.INSULT, c.THREAT) else 0.0 for k in classes]
+        want = [0.0, 0.0, 0.0]
+        for i, k in enumerate(classes):
+            if k == c.INSULT or (k == c.THREAT and c.TARGET in classes):
+                kind = c.REPORTED if c.REPORT in classes[:i] else c.NEGATED if c.NEGATION in classes[max(0, i - 3) : i] else c.MEANT
+                want[kind] = max(want[kind], own[i] * (0.8 if k == c.THREAT else 1.0) * (1.25 if c.TARGET in classes else 1.0))
+        assert c.clause_score(classes, own) == pytest.approx(tuple(want)), classes
+
+
+def test_toxicity_features_by_clause():
+    lexicon = toxicity.Lexicon({})
+    texts = ["You idiot! I do not say you are stupid; fine", None, "", "he said: you moron", "kill", "they kill\nidiot", "x " * 50 + "idiot"]
+    x = toxicity.document_features(pa.array(texts), lexicon)
+    assert x[:, 0].tolist() == [1.25, 0, 0, 1.25, 0, 1.0, 1.0] and x[:, 2].tolist() == [1.25, 0, 0, 0, 0, 0, 0]
+    assert np.expm1(x[:, 3]).round().tolist() == [2, 0, 0, 1, 0, 2, 1]
 
 
 def test_toxicity_learns_words_and_takes_edges(spark):
@@ -378,6 +401,14 @@ def test_toxicity_learns_words_and_takes_edges(spark):
     assert toxicity.score(docs_of(spark, []), labels, registry.fold(4) != 2).count() == 0
 
 
+def test_toxicity_on_held_out_labels(spark):
+    tables = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{tables}/labels.parquet").filter("toxic IS NOT NULL").select("doc_id", "toxic")
+    rows = registry.op4_toxicity(spark, tables).filter("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == k] for k in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     import corpus_pipeline
 
