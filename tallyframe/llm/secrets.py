@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field.
 
 The patterns' matches are always reported.  The field labels tokens as secret
-begin, inside or outside from the token's shape, the words and signs beside
-it and what kind of file it stands in.  It is trained by full gradients, one
+begin, inside or outside from the token's shape, the neighbouring words (by hash) and signs
+and what kind of file it stands in.  It is trained by full gradients, one
 Spark job each, on a bounded sample of documents in which the patterns' own
 matches are the labels, and decoded by Viterbi; what it finds apart from the
-patterns' matches is added.
+patterns' matches is added.  Each stretch of the sample with an assignment is
+also taught as prose would have it: key word, one more word, no sign, then the
+secret.  That is what the patterns cannot see.  Stretches where a long token
+with digits follows a key word and matches no pattern are not taught.
 
 Decoding is exact but skips most tokens: a token's best possible gain over
 "outside" is bounded, and only stretches that can have a positive sum of
@@ -15,6 +18,7 @@ bounds from both ends can hold a secret.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,9 +52,9 @@ _CLASSES[7, list(b"\"'")] = 1
 _CODE = np.zeros(256, np.int32)
 _CODE[list(b"={}();<>")] = 1
 _LENGTHS = np.array([4, 8, 12, 16, 20, 32, 64])
-#: Sizes of the feature groups: shape, word before with signs between, shape before, shape after, shape in its kind of file.
-SIZES = (8 * 32 * 4 * 2, 12, 16, 16, 64)
-N_FEATURES = sum(SIZES)
+#: Sizes of the feature groups: shape, word before with signs between, shape before, shape after, shape in its kind of file; the words two before, before and after, by hash.
+SIZES = (8 * 32 * 4 * 2, 12, 16, 16, 64, 1024, 1024, 1024)
+N_FEATURES, GROUPS = sum(SIZES), len(SIZES)
 _AT = np.concatenate(([0], np.cumsum(SIZES)[:-1]))
 
 
@@ -69,7 +73,10 @@ class Tokens:
         data, n = w.data, len(w)
         low = Words.__new__(Words)
         low.data, low.start, low.end = LOWER[data], w.start, w.end
-        keys = np.isin(low.hashes(), _keyword_hashes())
+        own = low.hashes()
+        keys = np.isin(own, _keyword_hashes())
+        # A word's bucket; the first is for a missing neighbour.
+        word = (own % np.uint64(1023)).astype(np.int32) + 1
         sums = [np.concatenate(([0], np.cumsum(c[data], dtype=np.int32))) for c in _CLASSES]
         of = lambda c, a, b: sums[c][b] - sums[c][a]
         length = w.end - w.start
@@ -95,7 +102,13 @@ class Tokens:
         size = np.diff(w.rows)
         share = (code[w.rows[1:]] - code[w.rows[:-1]]) * 1000 // np.maximum(size, 1)
         kind = np.searchsorted([1, 5, 20], share, "right")
-        self.features = np.stack([shape, before * 4 + between, left, right, coarse * 4 + kind[row]], 1).astype(np.int32) + _AT.astype(np.int32) if n else np.zeros((0, 5), np.int32)
+        self.features = np.zeros((n, GROUPS), np.int32)
+        if n:
+            past = np.where(first, 0, np.concatenate(([0], word[:-1])))
+            past2 = np.where(first, 0, np.concatenate(([0], past[:-1])))
+            future = np.where(last, 0, np.append(word[1:], 0))
+            for k, values in enumerate((shape, before * 4 + between, left, right, coarse * 4 + kind[row], past2, past, future)):
+                self.features[:, k] = values + _AT[k]
         self.row = row
 
     def labels(self, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
@@ -116,7 +129,7 @@ def _keyword_hashes() -> np.ndarray:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """features, labels: the sample's tokens in pieces of at most PIECE."""
+    """features, labels: the sample's tokens in pieces of at most PIECE, those with assignments also as prose would have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text"):
@@ -125,13 +138,38 @@ def _pieces(docs: DataFrame) -> DataFrame:
             y = t.labels([base_spans(x) for x in raw])
             cuts = [c for a, b in zip(t.words.first, t.words.first[1:]) for c in range(a, b, PIECE)] + [len(y)]
             cuts = sorted(set(cuts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t.features[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([y[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["features", "labels"]
-            )
+            pieces = [(t.features[a:b], y[a:b]) for a, b in zip(cuts, cuts[1:]) if not in_doubt(t.features[a:b], y[a:b])]
+            pieces += [(as_prose(f, labels), labels) for f, labels in pieces if ((labels == B) & (f[:, 1] >= _AT[1] + 4)).any()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k].tobytes() for x in pieces], pa.binary()) for k in (0, 1)], names=["features", "labels"])
 
     return docs.select("text").mapInArrow(run, "features binary, labels binary")
 
 
+def in_doubt(features: np.ndarray, labels: np.ndarray) -> bool:
+    """Whether a long token with digits after a key word matches no pattern: as likely a secret as not, so its piece teaches neither."""
+    coarse = (features[:, 4] - _AT[4]) // 4
+    return bool(((labels == O) & (features[:, 1] >= _AT[1] + 4) & (coarse >= 6) & (coarse % 2 == 1)).any())
+
+
+def as_prose(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The features if each secret after a key word stood one word further on, without signs; the word between is a short one that nothing is known of."""
+    out = features.copy()
+    moved = (labels == B) & (features[:, 1] >= _AT[1] + 4)
+    out[moved, 5] = features[moved, 6] - _AT[6] + _AT[5]
+    out[moved, 6] = _AT[6]
+    out[moved, 2] = _AT[2]
+    out[moved, 1] = _AT[1] + 8
+    return out
+
+
+def token_scores(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each token's score for each label, summed feature by feature."""
+    out = weights[features[:, 0]]
+    for k in range(1, GROUPS):
+        out += weights[features[:, k]]
+    return out
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     most = x.max(axis, keepdims=True)
     return (most + np.log(np.exp(x - most).sum(axis, keepdims=True))).squeeze(axis)
@@ -140,7 +178,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def gradient(features: list[np.ndarray], labels: list[np.ndarray], weights: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradient of the log-likelihood of some pieces: of the feature weights, and of the label-to-label weights."""
     n, size = len(features), max(len(f) for f in features)
-    f = np.full((n, size, 5), -1, np.int64)
+    f = np.full((n, size, GROUPS), -1, np.int64)
     y = np.full((n, size), -1, np.int64)
     for i, (a, b) in enumerate(zip(features, labels)):
         f[i, : len(a)], y[i, : len(b)] = a, b
@@ -158,9 +196,9 @@ def gradient(features: list[np.ndarray], labels: list[np.ndarray], weights: np.n
     np.put_along_axis(gold, np.maximum(y, 0)[..., None], 1.0, 2)
     rest = (gold * live[..., None] - node).reshape(-1, 3)
     out = np.zeros_like(weights)
-    flat = np.maximum(f, 0).reshape(-1, 5)
+    flat = np.maximum(f, 0).reshape(-1, GROUPS)
     for c in range(3):
-        for k in range(5):
+        for k in range(GROUPS):
             out[:, c] += np.bincount(flat[:, k], rest[:, c] * live.ravel(), len(weights))
     pair = np.zeros((3, 3))
     for t in range(1, size):
@@ -189,7 +227,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
                     part = batch.slice(at, 2000)
-                    f = [np.frombuffer(x, np.int32).reshape(-1, 5) for x in part.column("features").to_pylist()]
+                    f = [np.frombuffer(x, np.int32).reshape(-1, GROUPS) for x in part.column("features").to_pylist()]
                     y = [np.frombuffer(x, np.int8) for x in part.column("labels").to_pylist()]
                     keep = [i for i, a in enumerate(f) if len(a)]
                     if keep:
@@ -204,6 +242,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[
         flat = np.zeros(weights.size + steps.size)
         flat[got["i"].to_numpy(np.int64)] = got["g"].to_numpy(float)
         g, p = flat[: weights.size].reshape(weights.shape) - 0.01 * weights, flat[weights.size :].reshape(steps.shape)
+        g[_AT[5:]] = 0.0  # a missing or unknown neighbour tells nothing
         seen_w += g**2
         seen_s += p**2
         weights, steps = weights + g / np.sqrt(seen_w), steps + 0.5 * p / np.sqrt(seen_s)
@@ -253,13 +292,25 @@ def decode(score: np.ndarray, steps: np.ndarray, first: np.ndarray) -> np.ndarra
     return out
 
 
+def code_points(raw: bytes, places: list[int]) -> dict[int, int]:
+    """How many code points stand before each of some byte offsets; the text is counted through once."""
+    out, at, n = {}, 0, 0
+    plain = raw.isascii()
+    for p in sorted(set(places)):
+        n, at = p if plain else n + len(raw[at:p].decode()), p
+        out[p] = n
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: id, found: array of (kind, start, end), in code points, by start, then kind.
 
     Kinds are assign, access, hex (the patterns; the span is the whole match)
     and field (what the conditional random field adds; it never overlaps a
     pattern's match).  Null and empty texts have no spans; a corpus without
-    any match trains a field that finds nothing.  Rows repeating an id, null
+    any match trains a field that finds nothing.  Long texts are scanned whole, in
+    time linear in their length but for the sorting of spans; of labellings that
+    tie, Viterbi keeps the one whose label comes first in begin, inside, outside.  Rows repeating an id, null
     ids included, are scanned each for itself; other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -272,9 +323,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
         for batch in rows_of(batches, "text"):
             raw = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             spans = [base_spans(x) for x in raw]
+            edges = [(sorted(a for _, a, _ in own), sorted(b for _, _, b in own)) for own in spans]
             t = Tokens(batch.column("text"))
             w = t.words
-            label = decode(weights[t.features].sum(1), steps, w.first)
+            label = decode(token_scores(t.features, weights), steps, w.first)
             hit = np.flatnonzero(label != O)
             i = 0
             while i < len(hit):
@@ -283,13 +335,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
                     j += 1
                 r = t.row[hit[i]]
                 a, b = int(w.start[hit[i]] - w.rows[r]), int(w.end[hit[j - 1]] - w.rows[r])
-                if not any(s < b and a < e for k, s, e in spans[r] if k < 3):
+                if bisect_left(edges[r][0], b) == bisect_right(edges[r][1], a):  # all that begin before it ends have ended
                     spans[r].append((3, a, b))
                 i = j
             found = []
             for x, own in zip(raw, spans):
-                chars = (lambda p, x=x: len(x[:p].decode())) if not x.isascii() else (lambda p: p)
-                found.append([{"kind": KINDS[k], "start": chars(a), "end": chars(b)} for a, k, b in sorted((a, k, b) for k, a, b in own)])
+                chars = code_points(x, [p for _, a, b in own for p in (a, b)])
+                found.append([{"kind": KINDS[k], "start": chars[a], "end": chars[b]} for a, k, b in sorted((a, k, b) for k, a, b in own)])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(item))], names=["id", "found"])
 
     return docs.mapInArrow(run, f"id {kind}, found array<struct<kind:string,start:long,end:long>>")

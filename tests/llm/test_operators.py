@@ -322,7 +322,8 @@ def test_secrets_pattern_spans_and_field(spark):
     r = random.Random(4)
     many = [f"{words(20, i)} password={''.join(r.choice('0123456789abcdef') for _ in range(18))} {words(15, i + 500)}" for i in range(120)]
     novel = "some prose before secret is Zk3xQ9vB2mT7pL5w and prose after it"
-    found = {x.id: [tuple(s) for s in x.found] for x in secrets.scan(docs_of(spark, list(enumerate(texts + many + [novel]))), rounds=12).collect()}
+    docs = docs_of(spark, list(enumerate(texts + many + [novel])))
+    found = {x.id: [tuple(s) for s in x.found] for x in secrets.scan(docs, rounds=12).collect()}
     assigns = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     for i, x in enumerate(texts + many):
         x = x or ""
@@ -332,6 +333,22 @@ def test_secrets_pattern_spans_and_field(spark):
     assert secrets.scan(docs_of(spark, []), rounds=1).count() == 0
 
 
+def test_the_field_finds_secrets_that_no_pattern_covers(spark):
+    r = random.Random(4)
+    secret = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(14, 24)))
+    rows = [(i, f"{words(20, i)} {r.choice(['password', 'token', 'secret'])}{r.choice(['=', ': '])}{secret()} {words(15, i + 300)}") for i in range(300)]
+    rows += [(1000 + i, words(40, i + 600)) for i in range(300)]
+    planted = {}
+    for i in range(60):
+        s, head = secret(), f"é {words(12, i + 900)} the {r.choice(['password', 'token', 'secret'])} is "
+        planted[5000 + i] = ("field", len(head), len(head) + len(s))
+        rows.append((5000 + i, f"{head}{s} {words(10, i + 1200)}"))
+    found = {x.id: [tuple(s) for s in x.found] for x in secrets.scan(docs_of(spark, rows)).collect()}
+    assert sum(span in found[i] for i, span in planted.items()) >= 30
+    assert not any(found[1000 + i] for i in range(300))
+    assert secrets.code_points("aé漢b".encode(), [7, 1, 3, 0]) == {0: 0, 1: 1, 3: 2, 7: 4}
+
+
 def test_viterbi_over_stretches_is_viterbi_over_everything():
     rng = np.random.default_rng(5)
     for _ in range(20):
