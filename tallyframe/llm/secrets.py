@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialize
+from .session import materialize, partitions
 from .tokens import LOWER, Words, rows_of
 
 KINDS = ("assign", "access", "hex", "field")
@@ -38,7 +38,11 @@ ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 #: About how many documents the field is trained on, in pieces of PIECE tokens, and for how many rounds.
 SAMPLE, PIECE, ROUNDS = 4000, 128, 24
 
+#: Pieces that a worker works through at once.
+BLOCK = 500
+
 B, I, O = 0, 1, 2
+_LEAST = 1e-300
 KEYWORDS = (b"password", b"passwd", b"pwd", b"secret", b"token", b"key", b"apikey", b"api_key", b"api-key", b"bearer", b"authorization", b"credential", b"credentials", b"private_key", b"access_key", b"secret_key")
 
 _TOKEN = np.zeros(256, bool)
@@ -170,11 +174,6 @@ def token_scores(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    most = x.max(axis, keepdims=True)
-    return (most + np.log(np.exp(x - most).sum(axis, keepdims=True))).squeeze(axis)
-
-
 def gradient(features: list[np.ndarray], labels: list[np.ndarray], weights: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradient of the log-likelihood of some pieces: of the feature weights, and of the label-to-label weights."""
     n, size = len(features), max(len(f) for f in features)
@@ -183,29 +182,34 @@ def gradient(features: list[np.ndarray], labels: list[np.ndarray], weights: np.n
     for i, (a, b) in enumerate(zip(features, labels)):
         f[i, : len(a)], y[i, : len(b)] = a, b
     live = y >= 0
-    score = np.where(live[..., None], weights[np.maximum(f, 0)].sum(2), 0.0)
-    alpha, beta = np.zeros((size, n, 3)), np.zeros((size, n, 3))
-    alpha[0] = score[:, 0]
+    score = np.zeros((n, size, 3))
+    for k in range(GROUPS):
+        score += weights[np.maximum(f[:, :, k], 0)]
+    # Chances instead of logarithms, scaled at every token; a token's greatest score and the steps' one cancel out.
+    near = np.where(live[..., None], np.exp(score - score.max(2, keepdims=True)), 0.0)
+    move = np.exp(steps - steps.max())
+    ahead, after = np.zeros((size, n, 3)), np.ones((size, n, 3)) / 3.0
+    ahead[0] = near[:, 0] / near[:, 0].sum(1, keepdims=True)
+    pair, on = np.zeros((3, 3)), live.T[..., None]
     for t in range(1, size):
-        alpha[t] = np.where(live[:, t, None], _log_sum(alpha[t - 1][:, :, None] + steps, 1) + score[:, t], alpha[t - 1])
+        now = (ahead[t - 1] @ move) * near[:, t]
+        ahead[t] = np.where(on[t], now / np.maximum(now.sum(1, keepdims=True), _LEAST), ahead[t - 1])
     for t in range(size - 2, -1, -1):
-        beta[t] = np.where(live[:, t + 1, None], _log_sum(steps + (score[:, t + 1] + beta[t + 1])[:, None, :], 2), 0.0)
-    whole = _log_sum(alpha[-1], 1)
-    node = np.exp(alpha + beta - whole[None, :, None]).transpose(1, 0, 2) * live[..., None]
-    gold = np.zeros_like(node)
-    np.put_along_axis(gold, np.maximum(y, 0)[..., None], 1.0, 2)
-    rest = (gold * live[..., None] - node).reshape(-1, 3)
-    out = np.zeros_like(weights)
-    flat = np.maximum(f, 0).reshape(-1, GROUPS)
+        now = (near[:, t + 1] * after[t + 1]) @ move.T
+        after[t] = np.where(on[t + 1], now / np.maximum(now.sum(1, keepdims=True), _LEAST), after[t])
+    for t in range(1, size):
+        way = near[:, t] * after[t]
+        each = ((ahead[t - 1] @ move) * way).sum(1)
+        pair -= move * (ahead[t - 1].T @ (way / np.maximum(each, _LEAST)[:, None]))
+        np.add.at(pair, (y[live[:, t], t - 1], y[live[:, t], t]), 1.0)
+    node = ahead * after
+    node = (node / np.maximum(node.sum(2, keepdims=True), _LEAST)).transpose(1, 0, 2)
+    out, flat, at = np.zeros_like(weights), f[live], y[live]
+    rest = -node[live]
+    rest[np.arange(len(at)), at] += 1.0
     for c in range(3):
         for k in range(GROUPS):
-            out[:, c] += np.bincount(flat[:, k], rest[:, c] * live.ravel(), len(weights))
-    pair = np.zeros((3, 3))
-    for t in range(1, size):
-        on = live[:, t]
-        p = np.exp(alpha[t - 1][on][:, :, None] + steps + (score[on, t] + beta[t][on])[:, None, :] - whole[on][:, None, None])
-        np.add.at(pair, (y[on, t - 1], y[on, t]), 1.0)
-        pair -= p.sum(0)
+            out[:, c] += np.bincount(flat[:, k], rest[:, c], len(weights))
     return out, pair
 
 
@@ -213,7 +217,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[
     """Feature weights and label-to-label weights, from some ``sample`` documents."""
     share = min(1.0, sample / max(1, docs.count()))
     chosen = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1_000_003)) < int(share * 1_000_003)))
-    pieces = materialize(_pieces(chosen))
+    pieces = materialize(_pieces(chosen).repartition(4 * partitions(docs.sparkSession)))  # a file may hold most of the sample
     weights, steps = np.zeros((N_FEATURES, 3)), np.array([[-1.0, 0.0, 0.0], [-1.0, 0.0, 0.0], [0.0, -4.0, 0.0]])
     weights[_AT[1] : _AT[1] + SIZES[1], O] = 4.0
     seen_w, seen_s = np.full_like(weights, 1e-6), np.full_like(steps, 1e-6)
@@ -225,8 +229,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[
             w, s = now.value
             total, pair = np.zeros_like(w), np.zeros_like(s)
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
                     f = [np.frombuffer(x, np.int32).reshape(-1, GROUPS) for x in part.column("features").to_pylist()]
                     y = [np.frombuffer(x, np.int8) for x in part.column("labels").to_pylist()]
                     keep = [i for i, a in enumerate(f) if len(a)]
