@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialize, partitions
+from .session import materialize
 from .tokens import LOWER, Words, rows_of
 
 KINDS = ("assign", "access", "hex", "field")
@@ -217,7 +217,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[
     """Feature weights and label-to-label weights, from some ``sample`` documents."""
     share = min(1.0, sample / max(1, docs.count()))
     chosen = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1_000_003)) < int(share * 1_000_003)))
-    pieces = materialize(_pieces(chosen).repartition(4 * partitions(docs.sparkSession)))  # a file may hold most of the sample
+    pieces = materialize(_pieces(chosen).repartition(-(-sample // 250)))  # a file may hold most of the sample, and tasks need not follow the corpus
     weights, steps = np.zeros((N_FEATURES, 3)), np.array([[-1.0, 0.0, 0.0], [-1.0, 0.0, 0.0], [0.0, -4.0, 0.0]])
     weights[_AT[1] : _AT[1] + SIZES[1], O] = 4.0
     seen_w, seen_s = np.full_like(weights, 1e-6), np.full_like(steps, 1e-6)
