@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lattice_lm, line_dedup, near_vectors, recompression, secrets, shingle_join, toxicity
+from . import alignment, bpe, chat, decontaminate, hard_negatives, lattice_lm, line_dedup, near_vectors, packing, recompression, secrets, shingle_join, toxicity
+from .session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,23 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.dedup_substrings(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "task", "nth"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
+    rows = materialize(rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs"))
+    return alignment.score(rows, alignment.pair_counts(rows), ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +106,9 @@ QUERIES = {
     "op8_near_vectors": op8_near_vectors,
     "op9_shingle_join": op9_shingle_join,
     "op10_recompression": op10_recompression,
+    "op11_packing": op11_packing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 
@@ -96,4 +117,5 @@ ORACLE_SQL = {
     "op3_chat": chat.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op10_recompression": recompression.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
