@@ -12,13 +12,14 @@ BROADCAST_ROWS = 500_000
 
 
 def mark_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` (id, text) with t1, t2 (the text's hash) and copy: whether a smaller id has the same text.
+    """``docs`` (id, text) with t1, t2 (128 bits of the text's SHA-256) and copy: whether a smaller id has the same text.
 
     Hashes alone are shuffled, counted per task first; texts stay where they
     are as long as the copied texts are few enough to broadcast.  Null ids and
     null texts are nobody's copies.
     """
-    hashed = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    hashed = docs.withColumns({"t1": F.xxhash64(digest), "t2": F.xxhash64(F.lit(1), digest)})
     groups = hashed.filter("text IS NOT NULL AND id IS NOT NULL").groupBy("t1", "t2").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
     groups = materialize(groups.filter("leader < last").select("t1", "t2", "leader"))
     copy = F.col("text").isNotNull() & F.coalesce(F.col("id") > F.col("leader"), F.lit(False))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .filters import hash_ranges
 from .session import discard, materialize
-from .tokens import SPACED, Words, ragged, rows_of
+from .tokens import SPACED, Words, new_key, ragged, rows_of
 
 #: Most words of the broadcast table (20 bytes each).
 FREQUENT = 500_000
@@ -140,8 +140,8 @@ def lattices(pieces: Pieces, words: pa.Array, most: int = 1 << 19) -> Iterator[t
             yield Lattice(pieces, np.frombuffer(b"".join(raw), np.uint8), size[a:b] + len(MARK)), a, b
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """h, word, c (training count): all distinct words of ``text``; ``train`` says which rows count."""
+def vocabulary(docs: DataFrame, key: int) -> DataFrame:
+    """h (under ``key``), word, c (training count): all distinct words of ``text``; ``train`` says which rows count."""
     shift = hash_ranges(docs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             if not len(w):
                 continue
             train = np.repeat(np.array(batch.column("train").to_pylist(), bool), w.counts)
-            h, where, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            h, where, which = np.unique(w.hashes(key), return_index=True, return_inverse=True)
             c = np.bincount(which, train, len(h)).astype(np.int64)
             size = (w.end - w.start)[where]
             data = w.data[ragged(w.start[where], size)]
@@ -242,9 +242,9 @@ def score(docs: DataFrame, train_row, pieces_path: str, id_col: str = "doc_id",
     token is unknown: N and V are 0 and the base score is 0.  Rows that repeat
     an id are scored each for itself; other columns are not read.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, new_key()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train_row, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    vocab = materialize(vocabulary(docs))
+    vocab = materialize(vocabulary(docs, key))
     known = vocab.filter("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     ends = docs.filter("train").count()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
@@ -263,7 +263,7 @@ def score(docs: DataFrame, train_row, pieces_path: str, id_col: str = "doc_id",
         for batch in rows_of(batches, "text", 4 << 20):
             w = Words(batch.column("text"), SPACED)
             m = batch.num_rows
-            got, which, size = np.unique(w.hashes(), return_inverse=True, return_counts=True)
+            got, which, size = np.unique(w.hashes(key), return_inverse=True, return_counts=True)
             at = np.minimum(np.searchsorted(fh, got), max(len(fh) - 1, 0))
             hit = fh[at] == got if len(fh) else np.zeros(len(got), bool)
             row = w.row_of()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .copies import mark_copies
 from .filters import passes, repeated
 from .session import discard, materialize
-from .tokens import SPACED, Words, mix, ragged, rows_of, window_starts, windows
+from .tokens import SPACED, Words, mix, new_key, ragged, rows_of, window_starts, windows
 
 WINDOW = 13
 _RUN, _PAIR, _SIDE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -120,13 +120,13 @@ def anchors(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return at, best, own
 
 
-def _unique_anchors(window: int):
+def _unique_anchors(window: int, key: int):
     """The distinct anchors of each text, text after text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in rows_of(batches, "text"):
             w = Words(batch.column("text"), SPACED, lower=False)
-            at, anchor, _ = anchors(w, w.hashes(), window)
+            at, anchor, _ = anchors(w, w.hashes(key), window)
             text = np.searchsorted(w.first, at, "right")
             new = np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])) if len(at) else np.zeros(0, bool)
             anchor, text = anchor[new], text[new]
@@ -152,21 +152,21 @@ def _settling_names(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
 
 
-def _stretch_digests(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each range's words by a cryptographic hash, as two columns."""
-    raw = h.tobytes()
-    both = b"".join([hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist())])
+def _stretch_digests(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each range's words, which are rows of 128 bits themselves, by a cryptographic hash, as two columns."""
+    raw = np.ascontiguousarray(words).tobytes()
+    both = b"".join([hashlib.blake2b(raw[16 * a : 16 * b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist())])
     got = np.frombuffer(both, np.int64).reshape(-1, 2)
     return got[:, 0].copy(), got[:, 1].copy()
 
 
-def _scan(docs: DataFrame, flags, window: int) -> DataFrame:
+def _scan(docs: DataFrame, flags, window: int, key: int) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (null: in doubt), raw (in doubt only), found: the stretches in doubt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text"):
             w = Words(batch.column("text"), SPACED, lower=False)
-            h = w.hashes()
+            h = w.hashes(key)
             at, anchor, _ = anchors(w, h, window)
             text = np.searchsorted(w.first, at, "right") - 1
             copy = batch.column("copy").to_numpy(zero_copy_only=False)
@@ -175,7 +175,7 @@ def _scan(docs: DataFrame, flags, window: int) -> DataFrame:
             head = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])) if len(at) else np.zeros(0, bool)
             begin = at[head]
             count = np.diff(np.append(np.flatnonzero(head), len(head)))
-            r1, r2 = _stretch_digests(h, begin, begin + count + window - 1)
+            r1, r2 = _stretch_digests(np.stack((h, w.hashes(key + 1)), axis=1) if len(begin) else h, begin, begin + count + window - 1)
             cut = np.searchsorted(begin, w.first)
             place = begin - np.repeat(w.first[:-1], np.diff(cut))
             found = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(r1), pa.array(r2), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))], ["r1", "r2", "place", "n"]))
@@ -190,13 +190,13 @@ def _scan(docs: DataFrame, flags, window: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string, raw binary, found array<struct<r1:long,r2:long,place:int,n:int>>")
 
 
-def _open_windows(rows: DataFrame, window: int) -> DataFrame:
+def _open_windows(rows: DataFrame, window: int, key: int) -> DataFrame:
     """row, id, h1, h2, place of the windows of stretches that are not settled (``open``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "raw"):
             w = Words(batch.column("raw").cast(pa.string()), SPACED, lower=False)
-            h = w.hashes()
+            h = w.hashes(key), w.hashes(key + 1)
             lists = batch.column("open").to_pylist()
             row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             n = np.array([s["n"] for x in lists for s in x], np.int64)
@@ -205,7 +205,7 @@ def _open_windows(rows: DataFrame, window: int) -> DataFrame:
             at = w.first[row] + place
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(take), batch.column("id").take(take), *(pa.array(windows(h, window, seed=k)[at].view(np.int64)) for k in (2, 3)), pa.array(place.astype(np.int32))], names=["row", "id", "h1", "h2", "place"]
+                [batch.column("row").take(take), batch.column("id").take(take), *(pa.array(windows(h[k], window, seed=k + 2)[at].view(np.int64)) for k in (0, 1)), pa.array(place.astype(np.int32))], names=["row", "id", "h1", "h2", "place"]
             )
 
     return rows.mapInArrow(run, "row long, id long, h1 long, h2 long, place int")
@@ -244,10 +244,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    context = docs.sparkSession.sparkContext
+    context, key = docs.sparkSession.sparkContext, new_key()
     marked = mark_copies(docs).select("id", "text", "copy")
-    flags = context.broadcast(repeated(marked.filter("NOT copy").select("text"), _unique_anchors(window), bits))
-    scanned = materialize(_scan(marked, flags, window).withColumn("row", F.monotonically_increasing_id()))
+    flags = context.broadcast(repeated(marked.filter("NOT copy").select("text"), _unique_anchors(window, key), bits))
+    scanned = materialize(_scan(marked, flags, window, key).withColumn("row", F.monotonically_increasing_id()))
     sure = scanned.filter("kept_sha256 IS NOT NULL").select("id", "n_words", "n_removed", "kept_sha256")
     doubtful = scanned.filter("kept_sha256 IS NULL")
     held = doubtful.select("row", "id", F.explode("found").alias("f")).select("row", "id", "f.*")
@@ -258,7 +258,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         held.join(shared, ["r1", "r2"], "left").groupBy("row").agg(F.collect_list(F.when(settled, item)).alias("gone"), F.collect_list(F.when(~settled, item)).alias("open"))
     )
     texts = doubtful.select("row", "id", "raw").filter("id IS NOT NULL")
-    held = materialize(_open_windows(texts.join(lists.filter(F.size("open") > 0).select("row", "open"), "row"), window))
+    held = materialize(_open_windows(texts.join(lists.filter(F.size("open") > 0).select("row", "open"), "row"), window, key))
     shared = held.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("h1", "h2", "least")
     more = held.join(shared, ["h1", "h2"]).filter("id > least").groupBy("row").agg(F.collect_list(F.struct("place", F.lit(1).alias("n"))).alias("more"))
     gone = materialize(lists.select("row", "gone").join(more, "row", "left").select("row", F.concat("gone", F.coalesce("more", F.array().cast("array<struct<place:int,n:int>>"))).alias("gone")))

@@ -35,8 +35,10 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 
-#: About how many documents the field is trained on, in pieces of PIECE tokens, and for how many rounds.
+#: How many distinct texts the field is trained on at most, in pieces of PIECE tokens, and for how many rounds.
 SAMPLE, PIECE, ROUNDS = 4000, 128, 24
+#: About how many of these pieces it sees in a round at most.
+MOST_PIECES = 60_000
 
 #: Pieces that a worker works through at once.
 BLOCK = 500
@@ -213,11 +215,15 @@ def gradient(features: list[np.ndarray], labels: list[np.ndarray], weights: np.n
     return out, pair
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and label-to-label weights, from some ``sample`` documents."""
-    share = min(1.0, sample / max(1, docs.count()))
-    chosen = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1_000_003)) < int(share * 1_000_003)))
+def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, most: int = MOST_PIECES) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights and label-to-label weights, from ``sample`` distinct texts and some ``most`` of their pieces, both picked by hash."""
+    hashed = docs.filter("text IS NOT NULL").select(F.xxhash64(F.lit(3), "text").alias("h"), "text")
+    least = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = hashed.filter(F.col("h") <= F.lit(least)).groupBy("h").agg(F.any_value("text").alias("text"))  # copies meet in their tasks first
     pieces = materialize(_pieces(chosen).repartition(-(-sample // 250)))  # a file may hold most of the sample, and tasks need not follow the corpus
+    share = most / max(1, pieces.count())
+    if share < 1:
+        pieces = pieces.filter(F.pmod(F.xxhash64(F.lit(5), "features"), F.lit(1_000_003)) < int(share * 1_000_003))
     weights, steps = np.zeros((N_FEATURES, 3)), np.array([[-1.0, 0.0, 0.0], [-1.0, 0.0, 0.0], [0.0, -4.0, 0.0]])
     weights[_AT[1] : _AT[1] + SIZES[1], O] = 4.0
     seen_w, seen_s = np.full_like(weights, 1e-6), np.full_like(steps, 1e-6)

@@ -44,7 +44,7 @@ from .copies import mark_copies
 from .filters import passes, repeated
 from .graph import components
 from .session import discard, materialize, partitions, small
-from .tokens import SPACED, Words, mix, rows_of, window_starts, windows
+from .tokens import SPACED, Words, mix, new_key, rows_of, window_starts, windows
 
 SHINGLE, PERCENT = 4, 85
 GROUP_BITS = 19
@@ -66,9 +66,9 @@ _SIGNS = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 class ShingleSets:
     """The distinct shingles of some texts, text after text: ``h``, ``text``, ``first`` (offsets)."""
 
-    def __init__(self, texts: pa.Array, k: int):
+    def __init__(self, texts: pa.Array, k: int, key: int = 0):
         w = Words(texts, SPACED)
-        hashes = w.hashes()
+        hashes = w.hashes(key)
         n = len(w.counts)
         at = window_starts(w.counts, w.first, k)
         h, text = [windows(hashes, k, seed=k)[at]], [np.searchsorted(w.first, at, "right") - 1]
@@ -133,7 +133,7 @@ def sizes_fit(n1: Column, n2: Column, percent: int) -> Column:
     return (n1 * percent <= n2 * 100) & (n2 * percent <= n1 * 100)
 
 
-def group_mass(texts: DataFrame, k: int) -> np.ndarray:
+def group_mass(texts: DataFrame, k: int, key: int) -> np.ndarray:
     """How many distinct shingles of all texts fall into each of 2**GROUP_BITS groups."""
     blocks = 64
 
@@ -141,7 +141,7 @@ def group_mass(texts: DataFrame, k: int) -> np.ndarray:
         mass = np.zeros(1 << GROUP_BITS, np.int64)
         for batch in rows_of(batches, "text", SLICE):
             w = Words(batch.column("text"), SPACED)
-            h = windows(w.hashes(), k, seed=k)[window_starts(w.counts, w.first, k)]
+            h = windows(w.hashes(key), k, seed=k)[window_starts(w.counts, w.first, k)]
             mass += np.bincount((h >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=len(mass))
         if mass.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks)), pa.array([b.tobytes() for b in mass.reshape(blocks, -1)])], names=["block", "mass"])
@@ -154,12 +154,12 @@ def group_mass(texts: DataFrame, k: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(bytes(b), np.int64) for b in rows["mass"]]) if len(rows) else np.zeros(1 << GROUP_BITS, np.int64)
 
 
-def _points(texts: DataFrame, mass, flags, k: int, percent: int) -> DataFrame:
+def _points(texts: DataFrame, mass, flags, k: int, percent: int, key: int) -> DataFrame:
     """t1, t2, g1, g2 (class), n, slabs, counts: one row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text", SLICE):
-            s = ShingleSets(batch.column("text"), k)
+            s = ShingleSets(batch.column("text"), k, key)
             h, text = s.leading(mass.value, percent)
             hit = passes(flags.value, h)
             h, text = h[hit], text[hit]
@@ -492,18 +492,18 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A very long text is a slice of its own in a task and is compared whole.
     Other columns are not read.
     """
-    context = docs.sparkSession.sparkContext
+    context, key = docs.sparkSession.sparkContext, new_key()
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marked = mark_copies(docs)
     texts = marked.filter("NOT copy AND text IS NOT NULL").select("t1", "t2", "text")
-    mass = context.broadcast(group_mass(texts, shingle))
+    mass = context.broadcast(group_mass(texts, shingle, key))
 
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in rows_of(batches, "text", SLICE):
-            yield ShingleSets(batch.column("text"), shingle).leading(mass.value, percent)[0]
+            yield ShingleSets(batch.column("text"), shingle, key).leading(mass.value, percent)[0]
 
     flags = context.broadcast(repeated(texts, coordinates, bits))
-    points = materialize(_points(texts, mass, flags, shingle, percent))
+    points = materialize(_points(texts, mass, flags, shingle, percent, key))
     shared = points.filter("counts IS NOT NULL").groupBy("g1", "g2").agg(F.min_by(F.struct("t1", "t2", "n", "slabs", "counts"), F.struct("t1", "t2")).alias("p"))
     shared = materialize(shared.select("g1", "g2", "p.*").withColumn("v", F.monotonically_increasing_id()))
     one_text = shared.select("v", "t1", "t2")

@@ -8,6 +8,7 @@ bytes), so word limits can be found on bytes.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SIZE = np.uint64(0x9E3779B97F4A7C15)
+#: The initial state of SipHash (fixed values of its definition).
+_SIP = np.uint64(0x736F6D6570736575), np.uint64(0x646F72616E646F6D), np.uint64(0x6C7967656E657261), np.uint64(0x7465646279746573)
 #: Words beyond so many bytes are hashed one by one.
 LONG_WORD = 256
 
@@ -40,6 +42,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def new_key() -> int:
+    """A key for the word hashes of one job, the same in all its tasks; keys next to it are keys of their own."""
+    return secrets.randbits(126)
+
+
+def _turn(x: np.ndarray, bits: int) -> None:
+    high = x >> np.uint64(64 - bits)
+    x <<= np.uint64(bits)
+    x |= high
+
+
+def _sip_round(v: list[np.ndarray]) -> None:
+    """One round of SipHash on arrays, in place."""
+    v[0] += v[1]
+    _turn(v[1], 13)
+    v[1] ^= v[0]
+    _turn(v[0], 32)
+    v[2] += v[3]
+    _turn(v[3], 16)
+    v[3] ^= v[2]
+    v[0] += v[3]
+    _turn(v[3], 21)
+    v[3] ^= v[0]
+    v[2] += v[1]
+    _turn(v[1], 17)
+    v[1] ^= v[2]
+    _turn(v[2], 32)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts have about ``most`` bytes (a longer single text makes a slice of its own)."""
     for batch in batches:
@@ -89,37 +120,46 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), self.counts)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A hash of each word's bytes: its 8-byte blocks go through a mixing step one after another.
+    def hashes(self, key: int = 0) -> np.ndarray:
+        """A keyed hash of each word's bytes (SipHash-1-3 over its 8-byte blocks, the length taken in first).
 
-        Words of up to 8 bytes and one length never collide; two seeds make
-        128 bits.  Memory follows the number of words, not the longest text.
+        Under a key drawn for a job (:func:`new_key`) no input can be made to
+        collide; two keys make 128 bits.  Memory follows the number of words,
+        not the longest text.
         """
         size = self.end - self.start
-        out = mix(size.astype(np.uint64) * _SIZE + np.uint64(seed))
         if not len(size):
-            return out
+            return np.zeros(0, np.uint64)
+        secret = np.frombuffer(hashlib.blake2b(key.to_bytes(17, "little", signed=True), digest_size=16).digest(), np.uint64)
+        state = [np.full(len(size), secret[i % 2] ^ c, np.uint64) for i, c in enumerate(_SIP)]
+        state[3] ^= size.astype(np.uint64)
         data = np.concatenate((self.data, np.zeros(8, np.uint8)))
         blocks = np.ndarray((len(self.data) + 1,), "<u8", data, strides=(1,))  # the 8 bytes from every place on
         live, at, left = None, self.start, size
         if size.max() > LONG_WORD:
             live = np.flatnonzero(size <= LONG_WORD)
             for i in np.flatnonzero(size > LONG_WORD):
-                raw = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, key=seed.to_bytes(8, "little"))
-                out[i] = int.from_bytes(raw.digest(), "little")
+                raw = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, key=secret.tobytes())
+                state[0][i] ^= np.uint64(int.from_bytes(raw.digest(), "little"))
             at, left = at[live], left[live]
         while len(left):
             block = blocks[at]
             short = left < 8
             block[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
-            if live is None:
-                out = mix(out ^ block)
-            else:
-                out[live] = mix(out[live] ^ block)
+            part = state if live is None else [v[live] for v in state]
+            part[3] ^= block
+            _sip_round(part)
+            part[0] ^= block
+            if live is not None:
+                for v, x in zip(state, part):
+                    v[live] = x
             more = np.flatnonzero(left > 8)
             live = more if live is None else live[more]
             at, left = at[more] + 8, left[more] - 8
-        return out
+        state[2] ^= np.uint64(0xFF)
+        for _ in range(3):
+            _sip_round(state)
+        return state[0] ^ state[1] ^ state[2] ^ state[3]
 
     def coded(self) -> tuple[np.ndarray, list[bytes]]:
         """Each word's place in a list of the distinct words, told apart by their bytes."""

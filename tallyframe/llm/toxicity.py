@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialize, small
+from .session import materialize, rows_within, small
 from .tokens import Words, rows_of
 
 #: About how many labelled rows the lexicon and the weights are learnt from.
@@ -279,7 +279,10 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     labels = labels.filter("__id IS NOT NULL AND toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
     share = min(1.0, sample / max(1, labels.count()))
     chosen = materialize(labels.filter(F.pmod(F.xxhash64(F.lit(4), "__id"), F.lit(1_000_003)) < int(share * 1_000_003)))
-    return materialize(docs.filter("text IS NOT NULL").join(small(chosen, 2 * sample), "__id").select("text", "toxic"))
+    rows = docs.filter("text IS NOT NULL").join(small(chosen, 2 * sample), "__id")
+    if not rows_within(rows.select("toxic"), 2 * sample):  # an id that many rows repeat: one of its texts stands for all
+        rows = rows.groupBy("__id", "toxic").agg(F.any_value("text").alias("text"))
+    return materialize(rows.select("text", "toxic"))
 
 
 def train(chosen: DataFrame) -> tuple[Lexicon, np.ndarray]:
@@ -304,7 +307,7 @@ def score(docs: DataFrame, labels: DataFrame, train_row: Column, id_col: str = "
     score of a text without matches.  Long texts are read whole, in time linear in
     their length.  A clause that ties in weight keeps that weight.  Without labels the seeds and the prior
     stand.  Repeated ids and nulls are scored row by row; a label's repeated
-    rows count again.  Other columns are not read.
+    rows count again in learning, up to twice the sample in all.  Other columns are not read.
     """
     one = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("toxic"))
     known = sampled(docs.filter(train_row).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")), one, sample)

@@ -439,3 +439,55 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     assert last.count() == docs.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+#: Two words that one mixing step after another cannot tell apart.
+TWINS = "kuxjztiuaaabaaad", "qrcohfxlogdxsgey"
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    tail = words(12, 1)
+    pair = [(1, f"{TWINS[0]} {tail}"), (2, f"{TWINS[1]} {tail}")]
+    assert {r.id: r.n_removed for r in recompression.dedup_substrings(docs_of(spark, pair)).collect()} == {1: 0, 2: 0}
+    assert {r.id: r.component_id for r in shingle_join.join_classes(docs_of(spark, pair)).collect()} == {1: 1, 2: 2}
+    docs = docs_of(spark, [(1, TWINS[0]), (2, TWINS[1])])
+    known = lattice_lm.score(docs, F.col("doc_id") == 1, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert {r.doc_id: r.n_known for r in known} == {1: 2, 2: 1}
+
+
+def test_word_hashes_are_siphash_and_keyed():
+    def sip(secret, raw, size):
+        mask, v = (1 << 64) - 1, [int(c) ^ secret[i % 2] for i, c in enumerate(tokens._SIP)]
+        turn = lambda x, b: (x << b | x >> (64 - b)) & mask
+
+        def step():
+            v[0] = (v[0] + v[1]) & mask
+            v[1] = turn(v[1], 13) ^ v[0]
+            v[0] = turn(v[0], 32)
+            v[2] = (v[2] + v[3]) & mask
+            v[3] = turn(v[3], 16) ^ v[2]
+            v[0] = (v[0] + v[3]) & mask
+            v[3] = turn(v[3], 21) ^ v[0]
+            v[2] = (v[2] + v[1]) & mask
+            v[1] = turn(v[1], 17) ^ v[2]
+            v[2] = turn(v[2], 32)
+
+        v[3] ^= size
+        for i in range(0, size, 8):
+            block = int.from_bytes(raw[i : i + 8], "little")
+            v[3] ^= block
+            step()
+            v[0] ^= block
+        v[2] ^= 0xFF
+        for _ in range(3):
+            step()
+        return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+    texts = ["a", "abcdefgh", "abcdefghi", "x" * 24, "x" * 25, "é" * 7, "y" * 256, "q"]
+    w = tokens.Words(pa.array([" ".join(texts)]), lower=False)
+    for key in (0, 5, tokens.new_key()):
+        secret = np.frombuffer(hashlib.blake2b(key.to_bytes(17, "little", signed=True), digest_size=16).digest(), np.uint64).tolist()
+        assert w.hashes(key).tolist() == [sip(secret, t.encode(), len(t.encode())) for t in texts]
+    assert not set(w.hashes(1).tolist()) & set(w.hashes(2).tolist())
+    long = tokens.Words(pa.array(["z" * 300 + " " + "z" * 301 + " " + "z" * 300 + " b"]))
+    assert len(set(long.hashes(3).tolist())) == 3
