@@ -29,17 +29,21 @@ def windowed(units: DataFrame, width: str = "10 minutes", late: str = "30 minute
 
 
 def changes(units: DataFrame) -> DataFrame:
-    """A unit's status each time it differs from the last one seen (append mode)."""
+    """A unit's status each time it differs from the last one seen (append mode); rows older than that one are late and change nothing."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last, newest = state.get if state.exists else (None, None)
         out = []
-        for pdf in frames:
-            for r in pdf.sort_values("at").itertuples(index=False):
-                if r.status != last:
-                    out.append((key[0], last, r.status))
-                    last = r.status
-        state.update((last,))
+        rows = pd.concat(list(frames)).sort_values("at", kind="stable")  # chunks of one trigger come in no order
+        for r in rows.itertuples(index=False):
+            at = r.at.value // 1000
+            if newest is not None and at < newest:
+                continue  # an earlier trigger has seen a later status
+            newest = at
+            if r.status != last:
+                out.append((key[0], last, r.status))
+                last = r.status
+        state.update((last, newest))
         yield pd.DataFrame(out, columns=["unit", "before", "status"])
 
-    return units.select("unit", "status", "at").groupBy("unit").applyInPandasWithState(step, "unit string, before string, status string", "last string", "append", GroupStateTimeout.NoTimeout)
+    return units.filter("at IS NOT NULL").select("unit", "status", "at").groupBy("unit").applyInPandasWithState(step, "unit string, before string, status string", "last string, newest long", "append", GroupStateTimeout.NoTimeout)
