@@ -23,13 +23,24 @@ def gaps(merged: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, F.col("e").alias("s"), after.alias("e")).filter("e IS NOT NULL")
 
 
-def best_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """For each group the greatest overlap of a span of ``a`` with one of ``b`` over their hull."""
-    left = a.select(*keys, F.col("s").alias("s1"), F.col("e").alias("e1"))
-    right = b.select(*keys, F.col("s").alias("s2"), F.col("e").alias("e2"))
-    hull = F.greatest("e1", "e2") - F.least("s1", "s2")
-    share = F.when(hull > 0, F.greatest(F.lit(0.0), F.least("e1", "e2") - F.greatest("s1", "s2")) / hull).otherwise(0.0)
-    return left.join(right, keys).groupBy(*keys).agg(F.max(share).alias("best_iou"))
+def best_overlap(a: DataFrame, b: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+    """For each group with spans on both sides, the greatest overlap of a span of ``a`` with one of ``b`` over their hull; 0 if none overlap.
+
+    Spans meet in time bins of ``width`` (the mean length of all spans if not
+    given, so that they fall into two bins each on average), so only spans near
+    each other are paired, however many a group has.  A span without length,
+    or with a null limit, overlaps nothing.
+    """
+    left, right = (x.select(*keys, F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e")) for x in (a, b))
+    real = lambda x: x.filter("e > s")
+    if width is None:
+        width = real(left).unionByName(real(right)).agg(F.avg(F.col("e") - F.col("s"))).first()[0] or 1.0
+    bins = F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))).alias("__bin")
+    near = real(left).select(*keys, F.col("s").alias("s1"), F.col("e").alias("e1"), bins).join(real(right).select(*keys, F.col("s").alias("s2"), F.col("e").alias("e2"), bins), [*keys, "__bin"])
+    shared = F.least("e1", "e2") - F.greatest("s1", "s2")
+    best = near.filter(shared > 0).groupBy(*keys).agg(F.max(shared / (F.greatest("e1", "e2") - F.least("s1", "s2"))).alias("best_iou"))
+    both = left.select(*keys).distinct().join(right.select(*keys).distinct(), keys)
+    return both.join(best, keys, "left").select(*keys, F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"))
 
 
 def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:

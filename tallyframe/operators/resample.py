@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import positions
+
 DRAWS, SEED = 2000, 20261003
 
 
@@ -69,5 +71,5 @@ def paired_bootstrap(pairs: DataFrame, groups: list[str], delta: str, draws: int
 
 
 def systematic(df: DataFrame, group: str, key: str, step: int) -> DataFrame:
-    """Every ``step``-th row of each group in key order."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).filter(F.col("place") % step == 0)
+    """Every ``step``-th row of each group in key order, with its place; no task holds a whole group."""
+    return positions(df, [key], [group], "place").filter(F.col("place") % step == 0)

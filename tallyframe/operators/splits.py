@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import positions
+
 
 def hash_key(seed: int, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
@@ -28,8 +30,8 @@ def hash_split(df: DataFrame, key: str, seed: int, parts: dict[str, float]) -> D
 
 
 def strided_shards(df: DataFrame, group: str, key: str, shards: int) -> DataFrame:
-    """Shard numbers dealt round by key order inside each group."""
-    return df.withColumn("shard", (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1) % shards)
+    """Shard numbers dealt round by key order inside each group, which no task has to hold whole."""
+    return positions(df, [key], [group], "__position").withColumn("shard", (F.col("__position") % shards).cast("int")).drop("__position")
 
 
 def duplicates(df: DataFrame, key: list[str], payload: str) -> DataFrame:

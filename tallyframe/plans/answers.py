@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import choices, open_answers
+from ..functions import choices, embedded, open_answers, rules
 from .screening import table
 
 QUERIES = {}
@@ -162,3 +162,59 @@ def open_answers_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("l_returnflag", "method").agg(
         F.count("*").alias("n"), F.count_if(F.col("correct")).alias("n_correct"), F.count_if(~F.col("correct")).alias("n_wrong"), F.count_if(F.col("correct").isNull()).alias("n_open")
     )
+
+
+# -- rule tables over turns, and objects in prose around an event's properties ------------------------------------------
+
+def _phrases() -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = [(i, r.category, r.confidence, p) for i, r in enumerate(rules.QUESTIONS) for p in r.phrases]
+    return ", ".join(f"({i}, {quote(c)}, {f}, {quote(p.split(rules.GAP)[0])}, {quote(p.split(rules.GAP)[-1])}, {rules.GAP in p})" for i, c, f, p in rows)
+
+
+@query(f"""
+WITH p(rule, category, confidence, a, b, gap) AS (VALUES {_phrases()}),
+t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9? ]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM conversations),
+h AS (SELECT conv_id, turn, rule, category, confidence, count(*) FILTER (WHERE NOT gap) AS n_plain, count(*) AS n_all FROM t JOIN p ON contains(t, a) AND contains(t, b) GROUP BY ALL),
+f AS (SELECT conv_id, turn, arg_min(category, rule) AS category, arg_min(confidence, rule) AS confidence, arg_min(CASE WHEN n_plain > 0 THEN n_plain ELSE n_all END, rule) AS n_matched, count(*) AS n_fits FROM h GROUP BY ALL)
+SELECT t.conv_id, t.turn, coalesce(category, 'other') AS category, coalesce(confidence, 0.25)::DOUBLE AS confidence, coalesce(n_matched, 0)::BIGINT AS n_matched, coalesce(n_fits, 0)::BIGINT AS n_fits FROM t LEFT JOIN f USING (conv_id, turn)
+""")
+def questions_categorized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's category by the first of ten ordered rules that fits its wording."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = rules.categorized(turns, rules.question_text(F.col("text")), rules.QUESTIONS)
+    return found.select("conv_id", "turn", "category", "confidence", F.size("matched").cast("long").alias("n_matched"), F.size("fits").cast("long").alias("n_fits"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END::BIGINT AS n, CASE event_id % 5 WHEN 1 THEN 'brace' WHEN 3 THEN NULL ELSE props->>'$.k' END AS k FROM events
+""")
+def embedded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's properties as a JSON object in prose, among nested, fenced and torn ones: how many there are, and the first one's key."""
+    at = (F.col("event_id") % 5).cast("int")
+    around = F.array(
+        F.concat(F.lit("see "), F.col("props"), F.lit(' "end"')), F.concat(F.lit('a {"k": "brace", "x": {"y": "}{"}} b '), F.col("props")), F.concat(F.lit('{"z": 1} or\n```json\n'), F.col("props"), F.lit("\n```")),
+        F.lit('{"torn": "no end'), F.concat(F.lit("{not json} but "), F.col("props"), F.lit(' {"torn": {')),
+    )
+    found = table(spark, sf_dir, "events").select("event_id", embedded.objects(F.get(around, at)).alias("o"))
+    return found.select("event_id", F.size("o").cast("long").alias("n"), F.get_json_object(F.get("o", F.lit(0)), "$.k").alias("k"))
+
+
+#: A judge's answers, and what they say.
+JUDGED = [
+    ('{"verdict": "YES", "reference_facts": ["a"], "candidate_facts": [], "reason": "same"}', "YES"), ('<think>\n</think>\n```json\n{"verdict": "NO", "reference_facts": [], "candidate_facts": ["b"], "reason": "other"}\n```', "NO"),
+    ('{"verdict": "YES"}', "UNCERTAIN"), ("YES", "UNCERTAIN"), ('{"verdict": "MAYBE", "reference_facts": [], "candidate_facts": [], "reason": "x"}', "UNCERTAIN"), ("truncated {", "UNCERTAIN"),
+]
+
+
+@query(f"""
+WITH v AS (SELECT event_type, list_value({', '.join(f"'{v}'" for _, v in JUDGED)}) AS v, event_id % {len(JUDGED)} AS i, user_id % {len(JUDGED)} AS j FROM events),
+r AS (SELECT event_type, v[i + 1] AS a, v[j + 1] AS b FROM v)
+SELECT event_type, count(*)::BIGINT AS n, count(*) FILTER (WHERE a = 'YES' AND b = 'YES')::BIGINT AS n_right, count(*) FILTER (WHERE a = 'NO' AND b = 'NO')::BIGINT AS n_wrong, count(*) FILTER (WHERE a = 'UNCERTAIN')::BIGINT AS n_uncertain FROM r GROUP BY 1
+""")
+def judgements_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two judges' answers on every event: right or wrong only where both say so."""
+    said = F.array(*(F.lit(t) for t, _ in JUDGED))
+    a, b = (embedded.judgement(F.get(said, (F.col(c) % len(JUDGED)).cast("int")))["verdict"] for c in ("event_id", "user_id"))
+    both = table(spark, sf_dir, "events").select("event_type", a.alias("a"), b.alias("b")).withColumn("right", embedded.reviews_agree(F.array("a", "b")))
+    return both.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("right")).alias("n_right"), F.count_if(~F.col("right")).alias("n_wrong"), F.count_if(F.col("a") == "UNCERTAIN").alias("n_uncertain"))
