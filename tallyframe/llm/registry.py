@@ -32,18 +32,22 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(modulus: int) -> Column:
-    """crc32 of the document id as text, modulo a number of folds."""
+    """crc32 of the document id as text, modulo a number of folds; null for a null id, which is in no fold, so neither learnt from nor held out."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def held_out(modulus: int) -> Column:
+    return F.coalesce(fold(modulus) == 2, F.lit(False)).alias("held_out")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) != 2)
-    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(4), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lattice_lm.score(table(spark, sf_dir, "documents"), fold(7) != 2, public_tokenizers.path("piece_bpe_32k.model"))
-    return out.withColumn("held_out", ~F.col("train")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held_out(7), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
