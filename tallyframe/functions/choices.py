@@ -10,11 +10,11 @@ intermediate text is bound to a lambda's variable, so it is computed once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bound
+
 _CANDIDATE = "array<struct<letter:string,scope:string,rule:string>>"
 
 # The forms in which an answer names its choice.
@@ -41,11 +41,6 @@ _ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth".s
 _COMPATIBLE = "ＡＢＣＤａｂｃｄ．：，！？（）［］＜＞／＝　", "ABCDabcd.:,!?()[]<>/= "
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,20 +39,38 @@ def issues(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(c, name) for name, c in rules.items())))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, as a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def run_hashes(hashes: Column, n: int, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the hashes of every run of ``n`` entries: runs of twice the length are made of two, so each entry is hashed log n times."""
+
+    def joined(a: Column, b: Column, apart: int) -> Column:
+        size = F.greatest(F.lit(0), F.size(b) - apart)
+        return F.zip_with(F.slice(a, F.lit(1), size), F.slice(b, F.lit(apart + 1), size), lambda x, y: F.xxhash64(x, y))
+
+    def grow(whole: Column | None, done: int, power: Column, width: int, left: int) -> Column:
+        if left & 1:
+            if left == 1:
+                return use(power if whole is None else joined(whole, power, done))
+            step = lambda w: bound(joined(power, power, width), lambda p: grow(w, done + width, p, 2 * width, left >> 1))
+            return step(power) if whole is None else bound(joined(whole, power, done), step)
+        return bound(joined(power, power, width), lambda p: grow(whole, done, p, 2 * width, left >> 1))
+
+    return bound(hashes, lambda h: grow(None, 0, h, 1, n))
+
+
 def repeated_ngrams(text: Column, n: int = 20) -> Column:
     """1 - distinct / all n-word runs of the text's words; null below n words.
 
-    The words are found once and bound to a lambda's variable; runs are told
-    apart by a 64-bit hash, so that none is built as a text and the distinct
+    Words are found and hashed once; runs are told apart by 64-bit hashes made
+    of those of shorter runs, so that none is built as a text and the distinct
     ones are found by a hash set.
     """
-
-    def of(words: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
-        return F.when(F.size(words) >= n, 1 - F.size(F.array_distinct(runs)) / (F.size(words) - n + 1))
-
-    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
-    return F.transform(F.array(found), of)[0]
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
+    return run_hashes(F.transform(words, lambda w: F.xxhash64(w)), n, lambda runs: bound(runs, lambda r: F.when(F.size(r) > 0, 1 - F.size(F.array_distinct(r)) / F.size(r))))
 
 
 def first_rule(text: Column, rules: dict[str, list[str]], other: str) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .choices import bound
+from .columns import bound
 from .text import TENS, UNITS
 
 # Units that a count may carry, answers that point at absent options, words that spoil a count or a sequence.

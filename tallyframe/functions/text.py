@@ -37,8 +37,8 @@ def halves(text: Column, mark: str) -> tuple[Column, Column]:
 
 
 def resolution(text: Column, width: int = 16, height: int = 9) -> Column:
-    """(width, height) of a text such as 640x360; the default ratio for anything else."""
-    part = lambda k: F.regexp_extract(text, r"^\s*(\d+)\s*[xX]\s*(\d+)\s*$", k).try_cast("int")
+    """(width, height) where a text has one such as 640x360 in it; the default ratio for anything else."""
+    part = lambda k: F.regexp_extract(text, r"(\d+)\s*[xX×]\s*(\d+)", k).try_cast("int")
     fits = (part(1) > 0) & (part(2) > 0)
     return F.when(fits, F.struct(part(1).alias("width"), part(2).alias("height"))).otherwise(F.struct(F.lit(width).alias("width"), F.lit(height).alias("height")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bound
+
 _CLOCK = r"\d+(?::\d+){0,2}(?:\.\d+)?"
 _PAIR = rf"({_CLOCK})\s*[-–—]\s*({_CLOCK})"
 
@@ -20,19 +22,34 @@ def strict_seconds(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"^\d{1,6}(:[0-5]\d){1,2}(\.\d+)?$")), seconds(text))
 
 
+def read_ranges(text: Column, duration: Column | None = None) -> Column:
+    """(spans, alone): the time ranges (s, e) of a text that rise, sorted, and whether it holds such ranges and separators alone, all inside the duration.
+
+    The text is searched once; its matches are split at their dash.
+    """
+
+    def read(found: Column) -> Column:
+        halves = F.transform(found, lambda x: F.split(x, "[-–—]"))
+        spans = F.transform(halves, lambda h: F.struct(seconds(h[0]).alias("s"), seconds(h[1]).alias("e")))
+        return bound(F.array_sort(F.filter(spans, lambda x: x["s"] < x["e"])), lambda x: judged(x, found))
+
+    def judged(spans: Column, found: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(text, _PAIR, ""), r"[\s,;\[\]()]", "")
+        inside = F.lit(True) if duration is None else F.forall(spans, lambda x: x["e"] <= duration)
+        whole = (F.size(found) > 0) & (F.size(spans) == F.size(found))
+        return F.struct(spans.alias("spans"), F.when(whole, (rest == "") & inside).otherwise(False).alias("alone"))
+
+    return bound(F.regexp_extract_all(text, F.lit(_PAIR), F.lit(0)), read)
+
+
 def ranges(text: Column) -> Column:
     """Spans (s, e) of all time ranges in a text, those that do not rise left out, sorted."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(_PAIR), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(_PAIR), F.lit(2)).alias("b"))
-    spans = F.transform(found, lambda x: F.struct(seconds(x["a"]).alias("s"), seconds(x["b"]).alias("e")))
-    return F.array_sort(F.filter(spans, lambda x: x["s"] < x["e"]))
+    return read_ranges(text)["spans"]
 
 
 def only_ranges(text: Column, duration: Column) -> Column:
     """The spans of a text that holds ranges and separators alone, all rising and inside the duration; else null."""
-    rest = F.regexp_replace(F.regexp_replace(text, _PAIR, ""), r"[\s,;\[\]()]", "")
-    spans = ranges(text)
-    n = F.regexp_count(text, F.lit(_PAIR))
-    return F.when((rest == "") & (n > 0) & (F.size(spans) == n) & F.forall(spans, lambda x: x["e"] <= duration), spans)
+    return bound(read_ranges(text, duration), lambda r: F.when(r["alone"], r["spans"]))
 
 
 def around(at: Column, radius: float, duration: Column) -> Column:

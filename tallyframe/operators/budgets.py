@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound
+from ..functions.text import resolution
 from .controls import even_floor
 
 #: Fixed values of the budget rules: context, reserved for text, reserved for the answer, most visual tokens.
@@ -63,3 +65,66 @@ def proportional(amount: Column, durations: Column) -> Column:
     """Parts of an amount in proportion to durations."""
     whole = F.aggregate(durations, F.lit(0.0), lambda a, x: a + x)
     return F.transform(durations, lambda d: amount * d / whole)
+
+
+#: Tokens of a frame at most, pixels of a token's side, tokens kept free (fixed values of the budget rules).
+FRAME_MOST, PATCH, HEADROOM = 128, 28, 512
+
+
+def fitted_grid(tokens: Column, ratio: Column) -> Column:
+    """(h, w): the grid of tokens for two frames that fits a ratio (width by height) and a number of tokens best.
+
+    The error is the ratio's logarithm plus four times the share of tokens
+    left over; ties go to the better ratio, the larger grid, the lesser
+    height.  Every height is tried with the widths next to the ratio and the
+    three largest; grids below 100 tokens a frame are out, unless fewer are
+    allowed.  Where none is left, the grid nearest to a square root.
+    """
+    ratio, tokens = F.greatest(ratio.cast("double"), F.lit(1e-6)), tokens.cast("int")
+    least = F.greatest(F.lit(4), F.least(tokens, F.lit(2 * FRAME_TOKENS)))
+
+    def of_height(h: Column) -> Column:
+        most = F.floor(tokens / h).cast("int")
+        near = lambda w: F.greatest(F.lit(1), F.least(most, w.cast("int")))
+        widths = F.array_distinct(F.array(near(F.floor(ratio * h)), near(F.ceil(ratio * h)), near(most), near(most - 1), near(most - 2)))
+
+        def tried(w: Column) -> Column:
+            off = F.abs(F.log(w / h / ratio))
+            return F.struct(F.round(off + 4 * (tokens - h * w) / tokens, 9).alias("score"), F.round(off, 9).alias("off"), (-h * w).alias("size"), h.alias("h"), w.alias("w"))
+
+        return F.filter(F.transform(widths, tried), lambda x: (-x["size"]).between(least, tokens))
+
+    best = F.array_min(F.flatten(F.transform(F.sequence(F.lit(1), tokens), of_height)))
+    height = F.greatest(F.lit(1), F.floor(F.sqrt(tokens / ratio)).cast("int"))
+    width = F.greatest(F.lit(1), F.least(F.floor(tokens / height).cast("int"), F.round(ratio * height).cast("int")))
+    return bound(best, lambda b: F.when(b.isNotNull(), F.struct(b["h"].alias("h"), b["w"].alias("w"))).otherwise(F.struct(height.alias("h"), width.alias("w"))))
+
+
+def video_budget(seconds: Column, size: Column) -> Column:
+    """(frames, height, width, audio, visual_budget, visual, checked, fault) of a video of so many seconds and a size such as 640x360.
+
+    Faults: no duration, no visual budget, and beyond the context; sizes that
+    cannot be read are 16 by 9.
+    """
+
+    def planned(b: Column) -> Column:
+        n = even_floor(F.least(F.least(seconds * FRAME_RATE, F.lit(float(FRAMES))), b["visual"] / FRAME_TOKENS))
+        pair = F.greatest(F.lit(4), F.least(F.lit(2 * FRAME_MOST), F.floor(b["visual"] * 2 / n))).cast("int")
+        grid_ = F.struct(n.alias("n"), fitted_grid(pair, b["r"]["width"] / b["r"]["height"]).alias("g"))
+
+        def made(x: Column) -> Column:
+            used = (x["n"] / 2).cast("long") * x["g"]["h"] * x["g"]["w"]
+            checked = TEXT + b["audio"] + used + HEADROOM
+            fault = F.when(checked > CONTEXT, "beyond the context")
+            return F.struct(
+                x["n"].alias("frames"), (x["g"]["h"] * PATCH).alias("height"), (x["g"]["w"] * PATCH).alias("width"), b["audio"].alias("audio"), b["visual"].alias("visual_budget"), used.alias("visual"), checked.alias("checked"), fault.alias("fault")
+            )
+
+        return bound(grid_, made)
+
+    audio = audio_tokens(seconds)
+    free = F.struct(audio.alias("audio"), F.least(F.lit(VISUAL), F.lit(CONTEXT - TEXT - HEADROOM) - audio).cast("long").alias("visual"), resolution(size).alias("r"))
+    kind = "struct<frames:bigint,height:int,width:int,audio:bigint,visual_budget:bigint,visual:bigint,checked:bigint,fault:string>"
+    none = lambda fault: F.from_json(F.lit(f'{{"fault": "{fault}"}}'), kind)
+    good = bound(free, lambda b: F.when(b["visual"] > 0, planned(b).cast(kind)).otherwise(none("no visual budget")))
+    return F.when(F.coalesce(seconds > 0, F.lit(False)), good).otherwise(none("no duration"))

@@ -102,7 +102,8 @@ def spread(n: Column, k: int) -> Column:
 
 
 def even_floor(x: Column) -> Column:
-    return (F.floor(x / 2) * 2).cast("long")
+    """The greatest even number that is no larger, 2 at least."""
+    return F.greatest(F.lit(2), F.floor(x / 2) * 2).cast("long")
 
 
 def even_ceil(x: Column) -> Column:

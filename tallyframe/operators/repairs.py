@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.choices import bound
+from ..functions.columns import bound
 
 _SPANS = "array<struct<s:double,e:double,note:string>>"
 _LOG = "array<struct<kind:string,s:double,e:double,to_s:double,to_e:double,n:int>>"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .assembly import complementarity
 from .joins import strict_join
 
 
@@ -21,8 +22,10 @@ def by_ladder(results: DataFrame, labels: DataFrame, keys: list[str], key: str)
     """
     out = results
     for k in keys:
-        found = labels.filter(F.col(k).isNotNull()).groupBy(k).agg(F.when(F.count("*") == 1, F.min(key)).alias(f"__{k}")).filter(F.col(f"__{k}").isNotNull())
-        out = out.join(found, k, "left")
+        found = labels.filter(F.col(k).isNotNull()).groupBy(k).agg(F.when(F.count("*") == 1, F.min(key)).alias(f"__{k}")).filter(F.col(f"__{k}").isNotNull()).withColumn("__zero", F.lit(0).cast("long"))
+        # Rows without the key match nothing; they are dealt by their other columns, not to one task.
+        spread = F.when(F.col(k).isNull(), F.pmod(F.xxhash64(*results.columns), F.lit(1000)) + 1).otherwise(0)
+        out = out.withColumn("__null", spread).join(found.withColumnRenamed(k, "__key"), (F.col(k) == F.col("__key")) & (F.col("__null") == F.col("__zero")), "left").drop("__key", "__null", "__zero")
     return out.withColumn("matched", F.coalesce(*(f"__{k}" for k in keys))).drop(*(f"__{k}" for k in keys))
 
 
@@ -50,8 +53,8 @@ def positive_tier(base: Column, other: Column, gap: Column, verified: Column) ->
 
 
 def complement(a: Column, b: Column, names: tuple[str, str]) -> Column:
-    """Which of two views are right."""
-    return F.when(a & b, "both").when(a, f"{names[0]}_only").when(b, f"{names[1]}_only").when(~a & ~b, "both_wrong")
+    """Which of two views are right; null if either is unknown."""
+    return complementarity(a, b, names)
 
 
 def in_all_views(rows: DataFrame, key: str, view: str, value: str, views: list[str]) -> DataFrame:

@@ -173,8 +173,8 @@ def ranges_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ranges written as text from a line's numbers, read back; the second reader takes texts of ranges alone."""
     a, b = F.col("l_quantity").cast("int"), F.col("l_linenumber") * 12
     written = F.concat(F.lit("["), a.cast("string"), F.lit(" - "), b.cast("string"), F.lit("]; "), b.cast("string"), F.lit("–0:"), (a + 30).cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", written.alias("t")).withColumn("r", times.ranges(F.col("t")))
-    return rows.select("l_orderkey", "l_linenumber", F.size("r").alias("n"), F.get("r", F.lit(0))["s"].alias("first_s"), times.only_ranges(F.col("t"), F.lit(1e9)).isNotNull().alias("only_ranges"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", written.alias("t")).withColumn("r", times.read_ranges(F.col("t"), F.lit(1e9)))
+    return rows.select("l_orderkey", "l_linenumber", F.size("r.spans").alias("n"), F.get("r.spans", F.lit(0))["s"].alias("first_s"), F.col("r.alone").alias("only_ranges"))
 
 
 @query(r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, farthest, order, repairs
+from ..operators import budgets, compare, farthest, order, repairs
 from .screening import table
 
 QUERIES = {}
@@ -134,3 +134,25 @@ def batches_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of lines in batches of ten: the keys that the table itself repeats, and nothing else."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return order.batch_faults(order.batches(lines, ["l_orderkey", "l_linenumber"], 10), ["l_orderkey", "l_linenumber"], 10, lines.count())
+
+
+# -- budgets of videos: a part's size and key give a length and a resolution ------------------------------------------------
+
+_SIZES = ["854x480", "720x1280", "clip of 640×360 px", "unknown", "1920 X 800"]
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size * 7.25 AS d, [854.0 / 480, 720.0 / 1280, 640.0 / 360, 16.0 / 9, 1920.0 / 800][(p_partkey % 5)::INT + 1]::DOUBLE AS r FROM part),
+a AS (SELECT *, ceil(least(d, 300) * 25)::INT + 64 AS audio, least(24000, 32768 - 2048 - 512 - ceil(least(d, 300) * 25)::INT - 64) AS visual FROM p),
+f AS (SELECT *, greatest(2, floor(least(d * 2, 300, visual / 100) / 2) * 2)::INT AS n FROM a), t AS (SELECT *, greatest(4, least(256, floor(visual * 2 / n)))::INT AS t FROM f),
+u AS (SELECT DISTINCT t, r FROM t), h AS (SELECT t, r, unnest(range(1, t + 1)) AS h FROM u),
+w AS (SELECT DISTINCT t, r, h, greatest(1, least(t // h, unnest([floor(r * h)::INT, ceil(r * h)::INT, (t // h)::INT, (t // h - 1)::INT, (t // h - 2)::INT]))) AS w FROM h),
+s AS (SELECT *, round(abs(ln(w / h / r)) + 4 * (t - h * w) / t, 9) AS score, round(abs(ln(w / h / r)), 9) AS off FROM w WHERE h * w BETWEEN least(t, 200) AND t),
+g AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY t, r ORDER BY score, off, h * w DESC, h, w) = 1)
+SELECT p_partkey, n::BIGINT AS frames, (h * 28)::INT AS height, (w * 28)::INT AS width, audio::BIGINT AS audio, (n // 2 * h * w)::BIGINT AS visual, (2048 + audio + n // 2 * h * w + 512)::BIGINT AS checked FROM t JOIN g USING (t, r)
+""")
+def video_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, size and tokens of a video of a part's length and resolution."""
+    size = F.get(F.array(*map(F.lit, _SIZES)), (F.col("p_partkey") % 5).cast("int"))
+    plan = budgets.video_budget(F.col("p_size") * 7.25, size)
+    return table(spark, sf_dir, "part").select("p_partkey", plan.alias("b")).select("p_partkey", *(f"b.{c}" for c in ("frames", "height", "width", "audio", "visual", "checked")))

@@ -4,7 +4,7 @@ import pytest
 from conftest import DATA, same
 from pyspark.sql import functions as F
 
-from tallyframe.operators import repairs
+from tallyframe.operators import budgets, repairs
 from tallyframe.plans import repairs as plans
 
 
@@ -40,3 +40,12 @@ def test_faults(spark):
     assert mend(spark, [(1.0, 2.0, " ")], 10.0)[2] == "no note" and mend(spark, [(1.0, 2.0, None)], 10.0)[2] == "no note"
     assert mend(spark, [(20.0, 30.0)], 10.0)[:3] == (None, ["dropped empty"], "nothing left")
     assert mend(spark, [], 10.0)[:3] == ([], [], None)
+
+
+def test_video_budgets(spark):
+    rows = [(129.0, "854x480"), (60.0, "720x1280"), (1e6, "16x9"), (0.0, "1x1"), (None, "1x1"), (0.5, None), (30.0, "4000x1")]
+    got = [r.b for r in spark.createDataFrame(rows, "d double, s string").select(budgets.video_budget(F.col("d"), F.col("s")).alias("b")).collect()]
+    assert (got[0].frames, got[0].height, got[0].width, got[0].visual, got[0].audio, got[0].checked) == (240, 280, 560, 24000, 3289, 29849)
+    assert got[1].frames == 120 and got[1].visual <= 24000 and got[1].visual / 120 <= 128 and got[1].height > got[1].width
+    assert got[2].frames % 2 == 0 and got[2].checked <= 32768 and got[2].audio == 7564
+    assert [x.fault for x in got] == [None, None, None, "no duration", "no duration", None, None] and got[5].frames == 2 and got[6].height >= 28
