@@ -166,8 +166,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ASCII.  An item of fewer than ``window`` words, but not none, is one
     window.  Null texts have no words; items without words occur nowhere; a
     null item id marks words as hit but is not listed.  Rows repeating an id,
-    even a null one, are judged each by its own text.  Other columns are not
-    read, so their names cannot clash.
+    even a null one, are judged each by its own text.  A very long text is a
+    slice of its own in a task and is looked through whole; items with equal
+    windows are all listed, and a share of exactly a twentieth is contaminated.
+    Other columns are not read, so their names cannot clash.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext

@@ -240,7 +240,8 @@ def score(docs: DataFrame, train_row, pieces_path: str, id_col: str = "doc_id",
     ``train_row``: a Boolean column expression over ``docs`` (null: not learnt
     from).  A null or empty text is one end.  Without training rows every
     token is unknown: N and V are 0 and the base score is 0.  Rows that repeat
-    an id are scored each for itself; other columns are not read.
+    an id are scored each for itself; other columns are not read.  A very long
+    text is a slice of its own in a task; all its words count.
     """
     spark, key = docs.sparkSession, new_key()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train_row, F.lit(False)).alias("train"), F.col(text_col).alias("text"))

@@ -240,8 +240,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Each word inside a run of ``window`` words that also starts in a document
     with a smaller id goes.  A null text has no words.  Rows repeating an id
     are one document in this respect: they take nothing from each other.  A
-    row with a null id loses nothing and makes no other row lose anything.
-    Other columns are not read.
+    row with a null id loses nothing and makes no other row lose anything.  A
+    run that occurs in several documents stays in the one with the smallest id,
+    so there is no tie.  A very long text is a slice of its own in a task and is
+    looked through whole.  Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     context, key = docs.sparkSession.sparkContext, new_key()

@@ -490,7 +490,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     not even with one another.  Rows that repeat an id are texts of their own;
     a null id takes part, but is nobody's component id (alone it has null).
     A very long text is a slice of its own in a task and is compared whole.
-    Other columns are not read.
+    A pair exactly at the threshold links.  Other columns are not read.
     """
     context, key = docs.sparkSession.sparkContext, new_key()
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
