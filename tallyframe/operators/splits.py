@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .order import positions
 
 
@@ -72,9 +73,37 @@ def quotas(sizes: dict[str, int], total: int) -> dict[str, int]:
     return out
 
 
+def quota_table(df: DataFrame, stratum: str, total: int) -> DataFrame:
+    """stratum, quota by the rule of :func:`quotas`, over the table of strata (as strings); the driver gets four sums.
+
+    A place more or less goes by how far a stratum's share is from its quota;
+    each stratum's next places are rows with that distance, so the rule is a
+    top-n over them, not a loop.
+    """
+    held = stored(df.filter(F.col(stratum).isNotNull()).groupBy(F.col(stratum).cast("string").alias("__s")).agg(F.count("*").alias("__n")))
+    whole, n = held.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count("*")).first()
+    if n >= total:
+        first = held.orderBy(F.desc("__n"), "__s").limit(total).select("__s", F.lit(1).alias("__q"))
+        return held.join(first, "__s", "left").select(F.col("__s").alias("stratum"), F.coalesce("__q", F.lit(0)).cast("int").alias("quota"))
+    exact = F.col("__n") * total / F.lit(whole)
+    start = held.withColumn("__q", F.least("__n", F.greatest(F.lit(1), F.floor(exact)))).withColumn("__far", exact - F.col("__q"))
+    short = min(total, whole) - start.agg(F.sum("__q")).first()[0]
+    places = F.least(F.col("__n") - F.col("__q") if short > 0 else F.col("__q") - 1, F.lit(abs(short)))
+    each = start.filter(places > 0).select("__s", "__n", "__far", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("__j"))
+    ordered = each.orderBy(F.desc(F.col("__far") - F.col("__j")), F.desc("__n"), "__s") if short > 0 else each.orderBy(F.col("__far") + F.col("__j"), "__n", "__s")
+    moved = ordered.limit(abs(short)).groupBy("__s").agg(F.count("*").alias("__m"))
+    change = F.coalesce("__m", F.lit(0)) * (1 if short > 0 else -1)
+    return start.join(moved, "__s", "left").select(F.col("__s").alias("stratum"), (F.col("__q") + change).cast("int").alias("quota"))
+
+
+#: Strata up to which their quotas are broadcast.
+BROADCAST_ROWS = 500_000
+
+
 def stratified(df: DataFrame, stratum: str, key: str, seed: int, total: int) -> DataFrame:
-    """``total`` rows over the strata by :func:`quotas`, the first by hash in each; strata are few and counted first."""
-    sizes = {str(r[0]): r[1] for r in df.groupBy(stratum).count().collect()}
-    table = df.sparkSession.createDataFrame(list(quotas(sizes, total).items()) or [("", 0)], f"`{stratum}` string, quota int")
+    """``total`` rows over the strata by :func:`quota_table`, the first by hash in each; rows without a stratum are left out."""
+    table = quota_table(df, stratum, total).withColumnRenamed("stratum", "__stratum")
+    table = F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_key(seed, F.col(key)), key))
-    return df.join(F.broadcast(table), stratum).withColumn("rank", rank).filter(F.col("rank") <= F.col("quota")).drop("quota")
+    ranked = df.withColumn("rank", rank).filter(F.col("rank") <= total)
+    return ranked.join(table, F.col(stratum).cast("string") == F.col("__stratum")).filter(F.col("rank") <= F.col("quota")).drop("quota", "__stratum")

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyframe.operators import compare, farthest, intervals, metrics, order
+from tallyframe.operators import compare, farthest, intervals, metrics, order, splits
 
 
 def test_common_draws_equal_numpy(spark):
@@ -107,3 +107,14 @@ def test_exact_tests_equal_the_sum_and_answer_for_very_many_pairs(spark):
     got = [x[0] for x in rows.select(metrics.mcnemar(F.col("b"), F.col("c"))).collect()]
     assert math.isclose(got[0], math.erfc(1_000_000 / math.sqrt(1_000_001_000_000) / math.sqrt(2)), rel_tol=1e-5) and got[3] is None
     assert [round(x, 12) for x in got[1:3] + got[4:]] == [1.0, 1.0, 0.25, 0.25]
+
+
+def test_quotas_by_top_n_equal_the_rule(spark):
+    r = random.Random(6)
+    for n, most, totals in ((12, 40, (3, 12, 30, 57, 10_000)), (5, 3, (4, 6, 9)), (3, 200, (4, 7, 100))):
+        sizes = {f"s{i}": r.randint(1, most) for i in range(n)}
+        df = spark.createDataFrame([(s, i) for s, k in sizes.items() for i in range(k)] + [(None, 0)], "s string, i int")
+        for total in totals:
+            want = splits.quotas(sizes, total)
+            assert {x.stratum: x.quota for x in splits.quota_table(df, "s", total).collect()} == want
+        assert splits.stratified(df, "s", "i", 1, totals[-1]).count() == sum(splits.quotas(sizes, totals[-1]).values())
