@@ -43,46 +43,48 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     ``a`` and ``b`` ascend, hold positive ends and have the same last entry.
     """
-    i = j = 0
-    n, m = len(a), len(b)
-    ends_a: list[np.ndarray] = []
-    shift: list[int] = []
+    x, y = a.tolist(), b.tolist()
+    n, m, i, j = len(x), len(y), 0, 0
+    stretches: list[tuple[int, int, int]] = []  # first and last group's end on the left, and the shift
     while i < n:
-        step = 1
-        begin = i
+        begin, step = i, 1
         while i < n and j < m:
             k = min(step, n - i, m - j)
-            same = a[i : i + k] == b[j : j + k]
-            if same.all():
+            if x[i : i + k] == y[j : j + k]:
                 i += k
                 j += k
                 step *= 2
             else:
-                run = int(same.argmin())
-                i += run
-                j += run
+                while k > 1:  # the first difference, by halves
+                    half = k // 2
+                    if x[i : i + half] == y[j : j + half]:
+                        i += half
+                        j += half
+                        k -= half
+                    else:
+                        k = half
                 break
         if i > begin:
-            ends_a.append(np.arange(begin + 1, i + 1))
-            shift.append(j - i)
+            stretches.append((begin + 1, i, j - i))
         if i >= n:
             break
-        x, y = int(a[i]), int(b[j])
+        p, q = x[i], y[j]
         i += 1
         j += 1
-        while x != y:
-            if x < y:
-                x = int(a[i])
+        while p != q:
+            if p < q:
+                p = x[i]
                 i += 1
             else:
-                y = int(b[j])
+                q = y[j]
                 j += 1
-        ends_a.append(np.array([i]))
-        shift.append(j - i)
-    if not ends_a:
+        stretches.append((i, i, j - i))
+    if not stretches:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    left = np.concatenate(ends_a)
-    return left, left + np.repeat(np.array(shift), [len(x) for x in ends_a])
+    first, last, shift = np.array(stretches, np.int64).T
+    size = last - first + 1
+    left = ragged(first, size)
+    return left, left + np.repeat(shift, size)
 
 
 def links(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +94,7 @@ def links(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) ->
     """
     size_a, size_b = np.diff(left, prepend=0), np.diff(right, prepend=0)
     count = size_a + size_b - 1
-    ends = np.union1d(a, b)  # one link ends at each of them
+    ends = np.sort(np.concatenate((a, np.delete(b, right - 1))), kind="stable")  # one link ends at each of them
     return np.searchsorted(a, ends), np.searchsorted(b, ends), count
 
 
@@ -101,39 +103,44 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a, special=False), SentencePieces(path_b)
-        self.names_a, self.names_b = ([str(i).encode() for i in range(len(x.bytes))] for x in (self.a, self.b))
+        # An id in digits and what follows it: 2 id for one inside its group, 2 id + 1 for a group's last; b's entries after a's.
+        self.names = [b"%d%s" % (i, sign) for x, signs in ((self.a, (b",", b"|")), (self.b, (b",", b";"))) for i in range(len(x.bytes)) for sign in signs]
+        self.name_size = np.array([len(n) for n in self.names], np.int64)
         self.of = Remembered(self.make, lambda x: 260 if x is False else 260 + len(x[3]) + len(x[4]))
 
     def make(self, pieces: list[bytes]) -> list:
         """For each piece (n_a, n_b, n_groups, groups as text, links as pairs of unsigned 32-bit ids), or False where the tokens' bytes are not the piece."""
         (ia, fa), (ib, fb) = self.a.pieces(pieces), self.b.pieces(pieces)
-        ta, tb = ia.tolist(), ib.tolist()
-        ca, cb = fa.tolist(), fb.tolist()
-        good = [
-            b"".join(map(self.a.bytes.__getitem__, ta[ca[k] : ca[k + 1]])) == p == b"".join(map(self.b.bytes.__getitem__, tb[cb[k] : cb[k + 1]])) for k, p in enumerate(pieces)
-        ]
-        which = np.flatnonzero(good)
+        which = np.arange(len(pieces))
         out: list = [False] * len(pieces)
+        whole, ta, tb = b"".join(pieces), ia.tolist(), ib.tolist()
+        if not (whole == b"".join(map(self.a.bytes.__getitem__, ta)) == b"".join(map(self.b.bytes.__getitem__, tb))):
+            ca, cb = fa.tolist(), fb.tolist()
+            good = [p == b"".join(map(self.a.bytes.__getitem__, ta[ca[k] : ca[k + 1]])) == b"".join(map(self.b.bytes.__getitem__, tb[cb[k] : cb[k + 1]])) for k, p in enumerate(pieces)]
+            which = np.flatnonzero(good)
+            ia, ib = ia[ragged(fa[which], np.diff(fa)[which])], ib[ragged(fb[which], np.diff(fb)[which])]
         if not len(which):
             return out
-        ia, ib = ia[ragged(fa[which], np.diff(fa)[which])], ib[ragged(fb[which], np.diff(fb)[which])]
         ea, eb = np.cumsum(self.a.width[ia]), np.cumsum(self.b.width[ib])
         left, right = aligned(ea, eb)
         la, lb, per = links(ea, eb, left, right)
         pairs = np.stack((ia[la], ib[lb]), axis=1).astype("<u4").tobytes()
-        na, nb = (list(map(names.__getitem__, x.tolist())) for names, x in ((self.names_a, ia), (self.names_b, ib)))
-        groups, i, j = [], 0, 0
-        for x, y in zip(left.tolist(), right.tolist()):
-            groups.append((na[i] if x == i + 1 else b",".join(na[i:x])) + b"|" + (nb[j] if y == j + 1 else b",".join(nb[j:y])))
-            i, j = x, y
+        # All ids in the order of the text of groups: a group's a-tokens, then its b-tokens.
+        last_a, last_b = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
+        last_a[left - 1] = last_b[right - 1] = 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        names = np.empty(len(ia) + len(ib), np.int64)
+        names[np.arange(len(ia)) + np.append(0, right)[group_a]] = ia.astype(np.int64) * 2 + last_a
+        names[np.arange(len(ib)) + left[group_b]] = (len(self.a.bytes) + ib.astype(np.int64)) * 2 + last_b
+        text = b"".join(map(self.names.__getitem__, names.tolist()))
+        group_end = np.cumsum(self.name_size[names])[left + right - 1]
         # A piece's tokens, groups and links end where its bytes do.
-        to = np.searchsorted(ea[left - 1], np.cumsum([len(pieces[k]) for k in which]), side="right")
-        through = np.append(0, np.cumsum(per))[to].tolist()
-        to_a, to_b, to = left[to - 1].tolist(), right[to - 1].tolist(), to.tolist()
-        g = i = j = x = 0
-        for k, g2, i2, j2, x2 in zip(which.tolist(), to, to_a, to_b, through):
-            out[k] = (i2 - i, j2 - j, g2 - g, b";".join(groups[g:g2]), pairs[x * 8 : x2 * 8])
-            g, i, j, x = g2, i2, j2, x2
+        to = np.searchsorted(ea[left - 1], np.cumsum([len(pieces[k]) for k in which.tolist()]), side="right")
+        ends = np.stack((left[to - 1], right[to - 1], to, group_end[to - 1], np.cumsum(per)[to - 1] * 8))
+        begins = np.concatenate((np.zeros((5, 1), np.int64), ends[:, :-1]), axis=1)
+        counts = (ends[:3] - begins[:3]).tolist()
+        for k, a, b, g, t1, t2, x1, x2 in zip(which.tolist(), *counts, begins[3].tolist(), (ends[3] - 1).tolist(), begins[4].tolist(), ends[4].tolist()):
+            out[k] = (a, b, g, text[t1:t2], pairs[x1:x2])
         return out
 
 

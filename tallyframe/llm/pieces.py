@@ -45,22 +45,39 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 class Remembered:
-    """What ``make`` gives for pieces (a list at a time), kept for short pieces up to so many bytes in all."""
+    """What ``make`` gives for pieces (a list at a time), kept for short pieces up to so many bytes in all.
+
+    There are two halves: as the newer one fills up, it becomes the older one,
+    and what is asked for again moves back into the newer.
+    """
 
     def __init__(self, make: Callable[[list[bytes]], list], cost: Callable[[object], int], room: int = 96 << 20, longest: int = 48):
-        self.make, self.cost, self.room, self.longest = make, cost, room, longest
+        self.make, self.cost, self.room, self.longest = make, cost, room // 2, longest
         self.known: dict[bytes, object] = {}
-        self.left = room
+        self.older: dict[bytes, object] = {}
+        self.left = self.room
+
+    def _keep(self, piece: bytes, x: object) -> None:
+        self.left -= self.cost(x) + len(piece)
+        if self.left < 0:
+            self.older, self.known = self.known, {}
+            self.left = self.room - self.cost(x) - len(piece)
+        self.known[piece] = x
 
     def __call__(self, pieces: list[bytes]) -> list:
         out = list(map(self.known.get, pieces))
-        new = [i for i, x in enumerate(out) if x is None]
+        older = self.older
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in missing:
+            x = older.get(pieces[i])
+            if x is None:
+                new.append(i)
+            else:
+                out[i] = x
+                self._keep(pieces[i], x)
         for i, x in zip(new, self.make([pieces[i] for i in new]) if new else ()):
             out[i] = x
             if len(pieces[i]) <= self.longest:
-                self.left -= self.cost(x) + len(pieces[i])
-                if self.left < 0:  # start anew, so that the pieces of now are remembered
-                    self.known.clear()
-                    self.left = self.room
-                self.known[pieces[i]] = x
+                self._keep(pieces[i], x)
         return out
