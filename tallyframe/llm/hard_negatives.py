@@ -31,8 +31,8 @@ POSITIVES, NEGATIVES = 5, 10
 LEAST, MOST = 30, 90
 #: Lengths of segments, coarse and fine; vectors are padded with zeros to a multiple of the coarse one.
 SEGMENTS = (8, 2)
-#: Rows of a block, anchors of a chunk.
-BLOCK, CHUNK = 2048, 512
+#: Rows of a block, anchors of a chunk (a block is shuffled once a chunk), anchors that are bounded and multiplied at once.
+BLOCK, CHUNK, SLICE = 2048, 8192, 512
 #: Products up to this are exact in double precision.
 EXACT = 1 << 53
 _PACKED = "dim int, n int, ids binary, labels binary, q binary, sums binary"
@@ -77,6 +77,14 @@ class Block:
             at += 2 * k
         self.norm = np.sqrt((self.q.astype(np.float64) ** 2).sum(1))
 
+    def slices(self, most: int = SLICE) -> Iterator[tuple[int, Block]]:
+        """The first row's number and the rows, ``most`` at a time."""
+        for at in range(0, len(self.ids), most):
+            part, some = Block.__new__(Block), slice(at, at + most)
+            part.dim, part.ids, part.labels, part.q, part.norm = self.dim, self.ids[some], self.labels[some], self.q[some], self.norm[some]
+            part.level = [(m[some], d[some]) for m, d in self.level]
+            yield at, part
+
 
 def _packed(ids: np.ndarray, labels: np.ndarray, q: np.ndarray) -> dict:
     order = np.argsort(ids, kind="stable")
@@ -248,8 +256,9 @@ def mine_negatives(
 
     dealt = chosen.withColumn("chunk", F.pmod(F.xxhash64("id", "label", "q"), F.element_at(known, F.col("dim"))).cast("int"))
     chunks = materialize(dealt.groupBy("dim", "chunk").applyInArrow(pack, "chunk int, " + _PACKED))
-    # Anchors are copied for every share of the blocks, blocks for every chunk, so that pairs of both are dealt evenly.
-    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Anchors are copied for every share of the blocks, blocks for every chunk, so that pairs of both are dealt evenly:
+    # a pair of block and chunk is about a second's work, against some ten megabytes that are moved for it.
+    shares = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count()))
     spread = blocks.select("*", F.explode(F.sequence(F.lit(0), F.element_at(known, F.col("dim")) - 1)).alias("chunk"), F.pmod(F.xxhash64("block"), F.lit(shares)).alias("share")) if parts else blocks.withColumns({"chunk": F.lit(0), "share": F.lit(0).cast("long")}).limit(0)
     copied = chunks.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
 
@@ -265,7 +274,7 @@ def mine_negatives(
 
     def positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, a, b in pairs_of(batches):
-            got = _best_positives(a, b, positives)
+            got = [(at + x, score, i) for at, some in a.slices() for x, score, i in _best_positives(some, b, positives)]
             cols = list(zip(*got)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["dim"]] * len(got), pa.int32()), pa.array([row["chunk"]] * len(got), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], names=["dim", "chunk", "place", "score", "id"]
@@ -285,7 +294,8 @@ def mine_negatives(
                 lowest[f["place"], f["p"]] = -(-least * f["score"] // 100)
                 highest[f["place"], f["p"]] = most * f["score"] // 100
                 whose[f["place"], f["p"]] = (f["id"], f["score"])
-            got = [(int(a.ids[x]), x, p, *whose[x, p], score, i) for x, p, score, i in _best_negatives(a, b, lowest, highest, negatives)]
+            found = ((at + x, p, score, i) for at, some in a.slices() for x, p, score, i in _best_negatives(some, b, lowest[at : at + SLICE], highest[at : at + SLICE], negatives))
+            got = [(int(a.ids[x]), x, p, *whose[x, p], score, i) for x, p, score, i in found]
             cols = list(zip(*got)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["dim"]] * len(got), pa.int32()), pa.array([row["chunk"]] * len(got), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)],

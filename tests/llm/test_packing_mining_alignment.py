@@ -60,7 +60,7 @@ def test_remembered_pieces_are_bounded():
     assert of([b"ab", b"c" * 9]) == [b"abab", b"c" * 18] and of([b"ab", b"c" * 9]) == [b"abab", b"c" * 18] and calls == [2, 1]
     for i in range(50):
         assert of([str(i).encode()]) == [str(i).encode() * 2]
-    assert sum(len(k) + len(v) for k, v in of.known.items()) <= 60
+    assert sum(len(k) + len(v) for half in (of.known, of.older) for k, v in half.items()) <= 60
 
 
 def best_fit(lengths, size):
@@ -189,7 +189,7 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("block, chunk", [(2048, 512), (50, 3)])
+@pytest.mark.parametrize("block, chunk", [(2048, 8192), (50, 3)])
 def test_hard_negatives_equal_brute_force(spark, block, chunk):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     got = hard_negatives.mine_negatives(vectors_of(spark, vectors()).repartition(3), F.col("vec_id") % 100 == 0, label, block=block, chunk=chunk)
@@ -294,3 +294,11 @@ def test_alignment_of_no_documents_and_the_query(spark):
     want = expected_alignment([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], lambda t: (None, plain.encode(" " + (t or ""), add_special_tokens=False).ids, model.encode(t or "")))
     got = registry.QUERIES["op13_alignment"](spark, DATA).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     assert collections.Counter(tuple(x) for x in got.collect()) == want
+
+
+def test_slices_of_a_chunk_are_its_rows():
+    q = np.arange(70).reshape(10, 7)
+    b = hard_negatives.Block(hard_negatives._packed(np.arange(10), np.arange(10) % 3, q))
+    parts = list(b.slices(4))
+    assert [at for at, _ in parts] == [0, 4, 8] and np.concatenate([p.q for _, p in parts]).tolist() == b.q.tolist()
+    assert all(np.array_equal(np.concatenate([p.level[k][j] for _, p in parts]), b.level[k][j]) for k in range(2) for j in range(2))
