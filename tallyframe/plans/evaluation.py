@@ -418,7 +418,13 @@ def group_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.group_holdout(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 11, 100)
 
 
-@query()
+@query("""
+WITH w AS (SELECT c_mktsegment, count(*) AS n, count(*) * 97 / sum(count(*)) OVER () AS exact FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1),
+f AS (SELECT *, least(n, greatest(1, floor(exact))) AS q, least(97, sum(n) OVER ()) AS whole FROM w),
+t AS (SELECT c_mktsegment, q + CASE WHEN row_number() OVER (ORDER BY exact - q DESC, n DESC, c_mktsegment) <= whole - sum(q) OVER () THEN 1 ELSE 0 END AS quota FROM f),
+r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('5:' || c_custkey), c_custkey)::INT AS rank FROM customer)
+SELECT c_custkey, c_mktsegment, rank FROM r JOIN t USING (c_mktsegment) WHERE rank <= quota
+""")
 def stratified_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 5, 97)
 
