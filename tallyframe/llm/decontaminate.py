@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import bitmap, passes
@@ -159,8 +159,13 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"doc_id {kind}, th long, key string, start long, stop long")
 
 
+def text_hash(text: str) -> Column:
+    """By which rows that repeat an id are told apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, hits (word ranges), items (sorted as strings), contaminated.
+    """One row per row of ``docs``: doc_id, th (:func:`text_hash`), n_words, n_hit, hits (word ranges), items (sorted as strings), contaminated.
 
     Words are ASCII letters and digits (A-Z lower-cased) and anything beyond
     ASCII.  An item of fewer than ``window`` words, but not none, is one
@@ -171,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows are all listed, and a share of exactly a twentieth is contaminated.
     Other columns are not read, so their names cannot clash.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
     items = materialize(_items(benchmark, item_col, item_text))
     shingles = materialize(item_shingles(items, window, shingle))

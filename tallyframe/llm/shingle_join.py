@@ -481,7 +481,7 @@ def _open_entries(slabs: DataFrame, percent: int) -> DataFrame:
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int = 27) -> DataFrame:
-    """One row per row of ``docs``: id, th (64-bit hash of the text), n_shingles, component_id.
+    """One row per row of ``docs``: id, th (:func:`copies.text_hash`), n_shingles, component_id.
 
     Two texts link when 100 * intersection >= percent * union of their sets of
     distinct ``shingle``-word shingles (a text of fewer words is one shingle).

@@ -441,6 +441,25 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
+def test_pipeline_keeps_one_of_each_group_of_copies(spark):
+    import corpus_pipeline
+
+    rows = [*corpus(), (40, words(60, 10)), (20, words(25, 9)), (41, None), (42, words(25, 9))]
+    left = corpus_pipeline.one_of_each(spark, docs_of(spark, rows), DATA)
+    gone = {(21, rows[20][1]), (22, rows[22][1]), (23, rows[23][1]), (30, "One\ttwo"), (34, "the " * 30), (40, words(60, 10)), (42, words(25, 9))}
+    want = sorted(((i, t) for i, t in rows if (i, t) not in gone), key=repr)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == want and left.columns == docs_of(spark, []).columns
+
+
+def test_pipeline_drops_contaminated_documents(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 0").first().text
+    rows = [(1, words(60, 1)), (2, item), (2, words(60, 2)), (None, item), (3, None), (4, "")]
+    left = corpus_pipeline.clean_of_benchmark(spark, docs_of(spark, rows), DATA)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted((x for x in rows if x[1] != item), key=repr)
+
+
 #: Two words that one mixing step after another cannot tell apart.
 TWINS = "kuxjztiuaaabaaad", "qrcohfxlogdxsgey"
 
