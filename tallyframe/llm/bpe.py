@@ -8,14 +8,16 @@ and left.  Each place of a word is visited a bounded number of times, so the
 time is linear, and the tokens are exactly those of the merge order.  The
 decoder is a table of offsets into the concatenated token strings.
 
-Spark partitions the texts; in a task, texts are cut at ASCII white space and
-each distinct piece of a slice is encoded once.
+Spark partitions the texts; in a task, texts are cut at ASCII white space, the
+distinct pieces of a slice are normalised and split into words as one text, and
+words are remembered up to a bound of bytes.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,12 +31,16 @@ from pyspark.sql import functions as F
 from .session import bound_batches
 from .tokens import Words, binary_rows, ragged, rows_of
 
-#: Bytes that a Python worker spends on remembered pieces, and the longest piece that it remembers.
-CACHE_BYTES, CACHE_PIECE = 48 << 20, 64
-#: What a remembered piece takes besides its own bytes and its tokens'.
-CACHE_ENTRY = 180
+#: Bytes that a Python worker spends on remembered words, and the longest word (characters) that it remembers.
+CACHE_BYTES, CACHE_WORD = 48 << 20, 64
+#: What a remembered word takes besides its own characters (two bytes each) and its tokens.
+CACHE_ENTRY = 220
+#: Pairs of tokens of which a Python worker remembers whether they stay apart (some 130 bytes each).
+SEAMS = 200_000
 #: Bytes of text that are encoded and decoded at once.
 SLICE = 1 << 20
+#: Characters that stand after a piece and for a special token, in a text of pieces without ASCII white space.
+PIECE, SPECIAL = "\n", "\t"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,19 +65,14 @@ class WordBPE:
         names = {**{v: k for k, v in vocab.items()}, **{v: k for k, v in self.special.items()}}
         self.strings = [names.get(i, "") for i in range(max(names) + 1)]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(split)
+        self.pattern = regex.compile(f"{split}|[{PIECE}{SPECIAL}]")
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        # Units are letters for bytes, and the same letters with a word end; ids in here are in merge order.
-        units: dict[str, str] = {}
-        self.unit: list[str] = []
-        self.last: list[str] = []
+        # Units are the bytes as characters, and the same with a word end from 256 on; ids in here are in merge order.
         ids: list[int] = []
         text: list[str] = []
         own: dict[str, int] = {}
         for b, letter in sorted(_byte_letters().items()):
-            for name, table in ((letter, self.unit), (letter + self.suffix, self.last)):
-                u = units[name] = chr(0x4E00 + len(units))
-                table.append(u)
+            for name, u in ((letter, chr(b)), (letter + self.suffix, chr(256 + b))):
                 own[name] = len(ids)
                 ids.append(vocab[name])
                 text.append(u)
@@ -86,14 +87,21 @@ class WordBPE:
                 text.append(text[pair[0]] + text[pair[1]])
                 self.split.append(pair)
             self.pairs.setdefault(pair, own[name])
-        self.ids, self.length = ids, [len(t) for t in text]
+        self.raw, self.length = [i.to_bytes(4, sys.byteorder) for i in ids], [len(t) for t in text]
         self.parts = [s or (i, i) for i, s in enumerate(self.split)]
         self.matches = ahocorasick.Automaton()
         for i, t in enumerate(text):
             if self.split[i] is None or self.compatible(*self.split[i], below=i):
                 self.matches.add_word(t, i)
+        # The next shorter match at a token's place, -1 if there is none.
+        self.shorter = [next((self.matches.get(t[:k]) for k in range(len(t) - 1, 0, -1) if t[:k] in self.matches), -1) for t in text]
         self.matches.make_automaton()
-        self.known: dict[bytes, bytes] = {}
+        self.seams: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew, so that the words of now are remembered."""
+        self.known: dict[str, bytes] = {PIECE: b"", SPECIAL: bytes(4)}
         self.room = CACHE_BYTES
 
     def compatible(self, left: int, right: int, below: int = 1 << 60) -> bool:
@@ -125,77 +133,81 @@ class WordBPE:
                     if a == limit:
                         return True
 
-    def word(self, raw: bytes) -> list[int]:
-        """The tokens of one word."""
-        units = "".join([self.unit[b] for b in raw[:-1]]) + self.last[raw[-1]]
-        n = len(units)
-        found: list[list[int]] = [[] for _ in range(n)]
-        for end, token in self.matches.iter(units):
-            found[end - self.length[token] + 1].append(token)  # the shortest first
-        open_ = [True] * (n + 1)
-        at, out, choice = 0, [], [len(found[0]) - 1]
-        seam: dict[tuple[int, int], bool] = {}
+    def word(self, raw: bytes) -> bytes:
+        """The tokens of one word (unsigned 32-bit integers)."""
+        length, shorter, seams, many = self.length, self.shorter, self.seams, len(self.length)
+        # Matches come by their ends, so the longest one at a place comes last; the key is the place before.
+        longest = {end - length[token]: token for end, token in self.matches.iter(raw[:-1].decode("latin-1") + chr(256 + raw[-1]))}
+        dead: set[int] = set()
+        n, at, out, token = len(raw), 0, [], longest[-1]
         while at < n:
-            k = choice[-1]
-            while k >= 0:
-                token = found[at][k]
-                if open_[at + self.length[token]]:
+            while token >= 0:
+                to = at + length[token]
+                if to not in dead:
                     if not out:
                         break
-                    pair = (out[-1], token)
-                    if pair not in seam:
-                        seam[pair] = self.compatible(*pair)
-                    if seam[pair]:
+                    pair = out[-1] * many + token
+                    fits = seams.get(pair)
+                    if fits is None:
+                        if len(seams) >= SEAMS:
+                            seams.clear()
+                        fits = seams[pair] = self.compatible(out[-1], token)
+                    if fits:
                         break
-                k -= 1
-            if k >= 0:
-                choice[-1] = k
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at += self.length[token]
-                choice.append(len(found[at]) - 1 if at < n else -1)
+                at = to
+                if at < n:
+                    token = longest[at - 1]
             else:
-                open_[at] = False
-                choice.pop()
-                at -= self.length[out.pop()]
-                choice[-1] -= 1
-        return [self.ids[t] for t in out]
-
-    def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        for m in self.pattern.finditer(text):
-            out += self.word(m[0].encode())
-        return out
-
-    def piece(self, raw: bytes) -> bytes:
-        """The tokens (unsigned 32-bit integers) of a text without ASCII white space."""
-        got = self.known.get(raw)
-        if got is None:
-            text, out, at = raw.decode(), [], 0
-            if raw.isalpha():  # ASCII letters alone are one word
-                at, out = len(text), self.word(raw.lower())
-            if self.specials and b"<|" in raw:
-                for m in self.specials.finditer(text):
-                    out += self._plain(text[at : m.start()]) + [self.special[m[0]]]
-                    at = m.end()
-            got = np.array(out + self._plain(text[at:]), np.uint32).tobytes()
-            if len(raw) <= CACHE_PIECE:
-                self.room -= CACHE_ENTRY + len(raw) + len(got)
-                if self.room < 0:  # start anew, so that the words of now are remembered
-                    self.known.clear()
-                    self.room = CACHE_BYTES - CACHE_ENTRY - len(raw) - len(got)
-                self.known[raw] = got
+                dead.add(at)
+                token = out.pop()
+                at -= length[token]
+                token = shorter[token]
+        return b"".join([self.raw[t] for t in out])
+
+    def _new(self, word: str) -> bytes:
+        """The tokens of a word that is not remembered yet."""
+        got = self.word(word.encode())
+        if len(word) <= CACHE_WORD:
+            size = CACHE_ENTRY + 2 * len(word) + len(got)
+            if self.room < size:
+                self.forget()
+            self.room -= size
+            self.known[word] = got
         return got
 
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of texts without ASCII white space, and how many each of them has.
+
+        PIECE stands after each piece and SPECIAL for a special token; as white
+        space they are no part of a word and nothing composes with them.
+        """
+        text, special = b"\n".join([*pieces, b""]).decode(), []
+        if self.specials:
+            special = [self.special[x] for x in self.specials.findall(text)]
+            text = self.specials.sub(SPECIAL, text) if special else text
+        words = self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        parts = [self.known.get(w) for w in words]
+        for i in [i for i, p in enumerate(parts) if p is None]:
+            got = self.known.get(words[i])
+            parts[i] = self._new(words[i]) if got is None else got
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, ends = np.frombuffer(bytearray().join(parts), np.uint32), np.cumsum(size)
+        if special:
+            flat[ends[[i for i, w in enumerate(words) if w == SPECIAL]] - 1] = special
+        return flat, np.diff(ends[size == 0], prepend=0)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the texts and each text's offset into them."""
         w = Words(texts, lower=False)
         if not len(w):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         which, distinct = w.coded()
-        pieces = [self.piece(x) for x in distinct]
-        size = np.array([len(p) for p in pieces], np.int64) // 4
-        flat = np.frombuffer(b"".join(pieces), np.uint32)
+        part = np.cumsum(np.fromiter(map(len, distinct), np.int64, len(distinct))) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(distinct)]
+        flat, size = (np.concatenate(x) for x in zip(*(self.pieces(distinct[a:b]) for a, b in zip(cuts, cuts[1:]))))
         counts = size[which]
         ids = flat[ragged((np.cumsum(size) - size)[which], counts)]
         return ids, np.concatenate(([0], np.cumsum(counts)))[w.first]
