@@ -20,6 +20,18 @@ def entropy(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log(x)).otherwise(0.0)) / F.log(F.size(p).cast("double"))
 
 
+def steady_mean(x: Column) -> Column:
+    """An aggregate: the mean of numbers, hardly a bit of which hangs on the order in which rows are added.
+
+    Multiples of 2^-20 add up without rounding (to some 10^9), and what is
+    left of each number is too small for its roundings to show in the sum.
+    """
+    x = x.cast("double")
+    near = F.abs(x) < 2.0**33  # not NaN, infinities and numbers without such a rest
+    high = F.when(near, F.rint(x * 2.0**20) / 2.0**20).otherwise(x)
+    return (F.sum(high) + F.coalesce(F.sum(F.when(near, x - high)), F.lit(0.0))) / F.nullif(F.count(x), F.lit(0))
+
+
 def margin(p: Column) -> Column:
     """The greatest probability less the next."""
     s = F.sort_array(p, asc=False)

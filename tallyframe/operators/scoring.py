@@ -30,8 +30,11 @@ def by_ladder(results: DataFrame, labels: DataFrame, keys: list[str], key: str)
 
 
 def gap_recovery(current: Column, initial: Column, teacher: Column, least: float = 1e-9) -> Column:
-    """The share of the gap between an initial model and a teacher that is closed; null where there is next to no gap."""
-    return F.when(F.abs(teacher - initial) > least, (current - initial) / (teacher - initial))
+    """The share of the gap between an initial model and a teacher that is closed; null where there is next to no gap.
+
+    Gap and share are rounded to 12 digits, so that the last bits of means decide neither about the least gap nor about a later rounding.
+    """
+    return F.when(F.round(F.abs(teacher - initial), 12) > least, F.round((current - initial) / (teacher - initial), 12))
 
 
 def group_metrics(df: DataFrame, keys: list[str], correct: str, means: list[str]) -> DataFrame:

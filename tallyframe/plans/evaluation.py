@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsers, text, times
+from ..functions.columns import steady_mean
 from ..operators import budgets, checks, controls, resample, scoring, splits
 from .screening import _GRADED, _VIEWS, _graded, _pairs, r6, table
 
@@ -267,8 +268,9 @@ SELECT l_suppkey, CASE WHEN abs(teacher - initial) > 0.005 THEN round((cur - ini
 """)
 def gap_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines 1, 2 and 3 of a supplier as initial model, current one and teacher."""
-    arm = lambda k: F.avg(F.when(F.col("l_linenumber") == k, F.col("l_discount")))
-    m = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(arm(1).alias("a"), arm(2).alias("b"), arm(3).alias("c"))
+    means = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(steady_mean(F.col("l_discount")).alias("mean"))
+    arm = lambda k: F.max(F.when(F.col("l_linenumber") == k, F.col("mean")))
+    m = means.groupBy("l_suppkey").agg(arm(1).alias("a"), arm(2).alias("b"), arm(3).alias("c"))
     return m.select("l_suppkey", F.round(scoring.gap_recovery(F.col("b"), F.col("a"), F.col("c"), 0.005), 4).alias("recovery"))
 
 

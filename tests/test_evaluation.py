@@ -1,6 +1,9 @@
 """The evaluation queries against DuckDB, and parsers, times, spans, budgets and draws on literal cases."""
 
+from fractions import Fraction
+
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA, same
 from pyspark.sql import functions as F
@@ -125,3 +128,13 @@ def test_checks_raise(spark):
 def test_repeated_ngrams(spark):
     texts = [" ".join(["w"] * 40), " ".join(f"w{i}" for i in range(30)), "short", None]
     assert read(spark, texts, columns.repeated_ngrams) == [1 - 1 / 21, 0.0, None, None]
+
+
+def test_gap_recovered_at_a_tie_does_not_hang_on_the_order_of_lines(spark, tmp_path):
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").filter("l_suppkey = 566").select("l_suppkey", "l_linenumber", "l_discount").toPandas()
+    copies = [lines.sample(frac=1, random_state=i).assign(l_suppkey=i) for i in range(40)]
+    spark.createDataFrame(pd.concat([*copies, lines.assign(l_suppkey=99, l_discount=float("nan")), lines.head(1).assign(l_suppkey=98)])).write.parquet(f"{tmp_path}/lineitem.parquet")
+    means = [Fraction(sum(round(100 * x) for x in d), 100 * len(d)) for d in (lines.l_discount[lines.l_linenumber == k] for k in (1, 2, 3))]
+    assert (means[1] - means[0]) / (means[2] - means[0]) == Fraction(13, 32)  # 0.40625, half way between two results
+    got = {r.l_suppkey: r.recovery for r in evaluation.gap_recovered(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(40)] == [0.4063] * 40 and np.isnan(got[99]) and got[98] is None
