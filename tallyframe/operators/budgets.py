@@ -1,8 +1,8 @@
-"""Token and frame budgets, as Column expressions."""
+"""Token and frame budgets, as Column expressions, and budgets of many videos by a join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bound
@@ -80,51 +80,85 @@ def fitted_grid(tokens: Column, ratio: Column) -> Column:
     three largest; grids below 100 tokens a frame are out, unless fewer are
     allowed.  Where none is left, the grid nearest to a square root.
     """
+
+    def fitted(v: Column) -> Column:
+        tokens, ratio, least = v["tokens"], v["ratio"], v["least"]
+
+        def of_height(h: Column) -> Column:
+            def widths(most: Column) -> Column:
+                near = lambda w: F.greatest(F.lit(1), F.least(most, w.cast("int")))
+                return F.array_distinct(F.array(near(F.floor(ratio * h)), near(F.ceil(ratio * h)), near(most), near(most - 1), near(most - 2)))
+
+            def tried(w: Column) -> Column:
+                made = lambda off: F.struct(F.round(off + 4 * (tokens - h * w) / tokens, 9).alias("score"), F.round(off, 9).alias("off"), (-h * w).alias("size"), h.alias("h"), w.alias("w"))
+                return bound(F.abs(F.log(w / h / ratio)), made)
+
+            return F.transform(F.filter(bound(F.floor(tokens / h).cast("int"), widths), lambda w: (h * w).between(least, tokens)), tried)
+
+        best = F.array_min(F.flatten(F.transform(F.sequence(F.lit(1), tokens), of_height)))
+        height = F.greatest(F.lit(1), F.floor(F.sqrt(tokens / ratio)).cast("int"))
+        width = F.greatest(F.lit(1), F.least(F.floor(tokens / height).cast("int"), F.round(ratio * height).cast("int")))
+        return bound(best, lambda b: F.when(b.isNotNull(), F.struct(b["h"].alias("h"), b["w"].alias("w"))).otherwise(F.struct(height.alias("h"), width.alias("w"))))
+
     ratio, tokens = F.greatest(ratio.cast("double"), F.lit(1e-6)), tokens.cast("int")
     least = F.greatest(F.lit(4), F.least(tokens, F.lit(2 * FRAME_TOKENS)))
+    return bound(F.struct(tokens.alias("tokens"), ratio.alias("ratio"), least.alias("least")), fitted)
+
+
+_BUDGET = "struct<frames:bigint,height:int,width:int,audio:bigint,visual_budget:bigint,visual:bigint,checked:bigint,fault:string>"
+
+
+def _video_plan(seconds: Column, size: Column) -> Column:
+    """(audio, visual, frames, pair, ratio): tokens of the audio, left for frames, frames, and what their grid hangs on, tokens of two frames and a ratio; frames, pair and ratio are null without a visual budget, all without a duration."""
 
-    def of_height(h: Column) -> Column:
-        most = F.floor(tokens / h).cast("int")
-        near = lambda w: F.greatest(F.lit(1), F.least(most, w.cast("int")))
-        widths = F.array_distinct(F.array(near(F.floor(ratio * h)), near(F.ceil(ratio * h)), near(most), near(most - 1), near(most - 2)))
+    def planned(b: Column) -> Column:
+        n = F.when(b["visual"] > 0, even_floor(F.least(F.least(seconds * FRAME_RATE, F.lit(float(FRAMES))), b["visual"] / FRAME_TOKENS)))
+
+        def paired(n: Column) -> Column:
+            pair = F.when(n.isNotNull(), F.greatest(F.lit(4), F.least(F.lit(2 * FRAME_MOST), F.floor(b["visual"] * 2 / n))).cast("int"))
+            ratio = F.when(n.isNotNull(), b["r"]["width"] / b["r"]["height"])
+            return F.struct(b["audio"].alias("audio"), b["visual"].alias("visual"), n.alias("frames"), pair.alias("pair"), ratio.alias("ratio"))
+
+        return bound(n, paired)
 
-        def tried(w: Column) -> Column:
-            off = F.abs(F.log(w / h / ratio))
-            return F.struct(F.round(off + 4 * (tokens - h * w) / tokens, 9).alias("score"), F.round(off, 9).alias("off"), (-h * w).alias("size"), h.alias("h"), w.alias("w"))
+    audio = audio_tokens(seconds)
+    free = F.struct(audio.alias("audio"), F.least(F.lit(VISUAL), F.lit(CONTEXT - TEXT - HEADROOM) - audio).cast("long").alias("visual"), resolution(size).alias("r"))
+    return F.when(F.coalesce(seconds > 0, F.lit(False)), bound(free, planned))
 
-        return F.filter(F.transform(widths, tried), lambda x: (-x["size"]).between(least, tokens))
 
-    best = F.array_min(F.flatten(F.transform(F.sequence(F.lit(1), tokens), of_height)))
-    height = F.greatest(F.lit(1), F.floor(F.sqrt(tokens / ratio)).cast("int"))
-    width = F.greatest(F.lit(1), F.least(F.floor(tokens / height).cast("int"), F.round(ratio * height).cast("int")))
-    return bound(best, lambda b: F.when(b.isNotNull(), F.struct(b["h"].alias("h"), b["w"].alias("w"))).otherwise(F.struct(height.alias("h"), width.alias("w"))))
+def _video_made(plan: Column, grid_: Column) -> Column:
+    """The budget of a plan whose grid is known."""
+    used = (plan["frames"] / 2).cast("long") * grid_["h"] * grid_["w"]
+    checked = TEXT + plan["audio"] + used + HEADROOM
+    good = F.struct(
+        plan["frames"].alias("frames"), (grid_["h"] * PATCH).alias("height"), (grid_["w"] * PATCH).alias("width"), plan["audio"].alias("audio"), plan["visual"].alias("visual_budget"), used.alias("visual"), checked.alias("checked"),
+        F.when(checked > CONTEXT, "beyond the context").alias("fault"),
+    )
+    none = lambda fault: F.from_json(F.lit(f'{{"fault": "{fault}"}}'), _BUDGET)
+    return F.when(plan.isNull(), none("no duration")).when(plan["frames"].isNull(), none("no visual budget")).otherwise(good.cast(_BUDGET))
 
 
 def video_budget(seconds: Column, size: Column) -> Column:
     """(frames, height, width, audio, visual_budget, visual, checked, fault) of a video of so many seconds and a size such as 640x360.
 
     Faults: no duration, no visual budget, and beyond the context; sizes that
-    cannot be read are 16 by 9.
+    cannot be read are 16 by 9.  The grid is searched row by row; for many
+    rows see :func:`with_video_budgets`.
     """
+    made = lambda b: bound(fitted_grid(b["pair"], b["ratio"]), lambda g: _video_made(b, g))
+    return bound(_video_plan(seconds, size), made)
 
-    def planned(b: Column) -> Column:
-        n = even_floor(F.least(F.least(seconds * FRAME_RATE, F.lit(float(FRAMES))), b["visual"] / FRAME_TOKENS))
-        pair = F.greatest(F.lit(4), F.least(F.lit(2 * FRAME_MOST), F.floor(b["visual"] * 2 / n))).cast("int")
-        grid_ = F.struct(n.alias("n"), fitted_grid(pair, b["r"]["width"] / b["r"]["height"]).alias("g"))
-
-        def made(x: Column) -> Column:
-            used = (x["n"] / 2).cast("long") * x["g"]["h"] * x["g"]["w"]
-            checked = TEXT + b["audio"] + used + HEADROOM
-            fault = F.when(checked > CONTEXT, "beyond the context")
-            return F.struct(
-                x["n"].alias("frames"), (x["g"]["h"] * PATCH).alias("height"), (x["g"]["w"] * PATCH).alias("width"), b["audio"].alias("audio"), b["visual"].alias("visual_budget"), used.alias("visual"), checked.alias("checked"), fault.alias("fault")
-            )
 
-        return bound(grid_, made)
+def with_video_budgets(videos: DataFrame, seconds: Column, size: Column, name: str = "budget") -> DataFrame:
+    """``videos`` with :func:`video_budget` as a column.
 
-    audio = audio_tokens(seconds)
-    free = F.struct(audio.alias("audio"), F.least(F.lit(VISUAL), F.lit(CONTEXT - TEXT - HEADROOM) - audio).cast("long").alias("visual"), resolution(size).alias("r"))
-    kind = "struct<frames:bigint,height:int,width:int,audio:bigint,visual_budget:bigint,visual:bigint,checked:bigint,fault:string>"
-    none = lambda fault: F.from_json(F.lit(f'{{"fault": "{fault}"}}'), kind)
-    good = bound(free, lambda b: F.when(b["visual"] > 0, planned(b).cast(kind)).otherwise(none("no visual budget")))
-    return F.when(F.coalesce(seconds > 0, F.lit(False)), good).otherwise(none("no duration"))
+    Each duration and size is read once, and as a grid hangs on the tokens of
+    two frames (253 numbers) and the ratio alone, each such pair is searched
+    once; both are joined with their rows.
+    """
+    keyed = videos.withColumns({"__seconds": seconds, "__size": size})
+    planned = keyed.select("__seconds", "__size").distinct().withColumn("__plan", _video_plan(F.col("__seconds"), F.col("__size"))).withColumns({"__pair": F.col("__plan.pair"), "__ratio": F.col("__plan.ratio")})
+    grids = planned.select(F.col("__pair").alias("__p"), F.col("__ratio").alias("__r")).distinct().withColumn("__grid", fitted_grid(F.col("__p"), F.col("__r")))
+    # Null-safe, as a plain join would test plans for null, and do that before rows are made distinct.
+    made = planned.join(grids, F.col("__pair").eqNullSafe(F.col("__p")) & F.col("__ratio").eqNullSafe(F.col("__r")), "left").select(F.col("__seconds").alias("__s"), F.col("__size").alias("__z"), _video_made(F.col("__plan"), F.col("__grid")).alias(name))
+    return keyed.join(made, F.col("__seconds").eqNullSafe(F.col("__s")) & F.col("__size").eqNullSafe(F.col("__z")), "left").drop("__seconds", "__size", "__s", "__z")

@@ -154,5 +154,5 @@ SELECT p_partkey, n::BIGINT AS frames, (h * 28)::INT AS height, (w * 28)::INT AS
 def video_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames, size and tokens of a video of a part's length and resolution."""
     size = F.get(F.array(*map(F.lit, _SIZES)), (F.col("p_partkey") % 5).cast("int"))
-    plan = budgets.video_budget(F.col("p_size") * 7.25, size)
-    return table(spark, sf_dir, "part").select("p_partkey", plan.alias("b")).select("p_partkey", *(f"b.{c}" for c in ("frames", "height", "width", "audio", "visual", "checked")))
+    planned = budgets.with_video_budgets(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_size") * 7.25, size, "b")
+    return planned.select("p_partkey", *(f"b.{c}" for c in ("frames", "height", "width", "audio", "visual", "checked")))

@@ -49,3 +49,16 @@ def test_video_budgets(spark):
     assert got[1].frames == 120 and got[1].visual <= 24000 and got[1].visual / 120 <= 128 and got[1].height > got[1].width
     assert got[2].frames % 2 == 0 and got[2].checked <= 32768 and got[2].audio == 7564
     assert [x.fault for x in got] == [None, None, None, "no duration", "no duration", None, None] and got[5].frames == 2 and got[6].height >= 28
+
+
+def test_video_budgets_search_a_grid_once(spark):
+    rows = [(129.0, "854x480"), (60.0, "720x1280"), (1e6, "16x9"), (0.0, "1x1"), (None, "1x1"), (0.5, None), (30.0, "4000x1"), (float("nan"), "4x3")] * 3
+    videos = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, d double, s string")
+    got = {r.k: r.budget for r in budgets.with_video_budgets(videos, F.col("d"), F.col("s")).collect()}
+    want = {r.k: r.b for r in videos.select("k", budgets.video_budget(F.col("d"), F.col("s")).alias("b")).collect()}
+    assert got == want and len(got) == 24
+    # The search over heights (a sequence) and the reading of sizes stand in aggregates by kind, nowhere over the rows.
+    plan = plans.video_budgets(spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    for what in ("sequence(1", "regexp_extract"):
+        found = [line.lstrip(" :+-") for line in plan if what in line]
+        assert found and all(line.startswith("Aggregate") for line in found)
