@@ -1,23 +1,27 @@
 """Hard negatives by segment summaries: bounds from means and deviations rule rows out before exact products.
 
 Every vector is cut into segments, and each segment's mean and deviation are
-stored beside it, for two lengths of segments.  The product of two segments of
-length l lies within l * (product of means +- product of deviations), so sums
-over segments bound a pair's score from both sides, and halving the segments
-tightens the bounds.  Rows lie in blocks and anchors in chunks; each block
-meets each chunk in a task of its own.  There the coarse bounds are two small
-matrix products; rows that they leave possible for some anchor get the fine
-bounds, and what is left of those exact products of integers.
-
-Thresholds come from the bounds themselves (the k-th largest lower bound of a
-block cannot be beaten by a smaller upper bound) and, for negatives, from the
-positives' scores.  A block passes on its best few rows an anchor, so what is
-shuffled is counts of anchors and blocks, never pairs.
+taken, for two lengths of segments.  The product of two segments of length l
+lies within l * (product of means +- product of deviations), so sums over
+segments bound a pair's score from both sides, and halving the segments
+tightens the bounds.  Rows lie in blocks and anchors in chunks; a task meets a
+chunk with a share of the blocks, one block after the other, and keeps the
+best few of each anchor so far.  Rows that the bounds rule out for all anchors
+of a slice, given those, are dropped; the rest is multiplied exactly.  The
+coarse bounds are two small matrix products, the fine ones as large as the
+exact product, so a few anchors of a slice try the bounds first, and where
+most rows would be left, the slice goes on without them for some blocks.
+
+Thresholds come from the best few so far (so the first block is multiplied
+without bounds) and, for negatives, from the positives' scores.  A task passes on its best few rows
+an anchor, so what is shuffled is counts of anchors and shares, never pairs or
+blocks' best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,17 @@ POSITIVES, NEGATIVES = 5, 10
 LEAST, MOST = 30, 90
 #: Lengths of segments, coarse and fine; vectors are padded with zeros to a multiple of the coarse one.
 SEGMENTS = (8, 2)
-#: Rows of a block, anchors of a chunk (a block is shuffled once a chunk), anchors that are bounded and multiplied at once.
-BLOCK, CHUNK, SLICE = 2048, 8192, 512
-#: Products up to this are exact in double precision.
-EXACT = 1 << 53
-_PACKED = "dim int, n int, ids binary, labels binary, q binary, sums binary"
+#: Rows of a block, anchors of a chunk (a block is shuffled once a chunk), anchors that are bounded and multiplied at once, with so many rows.
+BLOCK, CHUNK, SLICE, TILE = 8192, 32768, 256, 2048
+#: One anchor of so many tries the bounds; they are used where they leave less than this share of the rows.
+TRIED, LEFT = 16, 0.5
+#: Whole numbers up to these are exact in single and in double precision.
+EXACT = (1 << 24, 1 << 53)
+#: Candidates an anchor of a tile from which thresholds are taken from the tile itself; chunks whose best few a task holds at once.
+MANY, HELD = 64, 4
+#: The score of a place that no row has taken, below all others, and what no score reaches.
+NONE, BEYOND = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+_PACKED = "dim int, n int, width int, ids binary, labels binary, q binary"
 
 
 def rows_of_vectors(vectors: DataFrame, scale: float, id_col: str, label: Column, vec_col: str) -> DataFrame:
@@ -63,33 +73,83 @@ def _summaries(q: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Rows of one dimension, by id."""
+    """Rows of one dimension, by label, then id."""
 
     def __init__(self, row: dict):
-        n, self.dim = row["n"], row["dim"]
+        self.dim = row["dim"]
         self.ids, self.labels = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["labels"], "<i8")
-        self.q = np.frombuffer(row["q"], "<i8").reshape(n, self.dim)
-        sums = np.frombuffer(row["sums"], "<f8").reshape(n, -1)
-        self.level, at = [], 0
+        self.stored = np.frombuffer(row["q"], f"<i{row['width']}").reshape(row["n"], self.dim)
+        self._of = None
+
+    @cached_property
+    def q(self) -> np.ndarray:
+        return self.stored.astype(np.int64)
+
+    @cached_property
+    def norm(self) -> np.ndarray:
+        return np.sqrt((self.stored.astype(np.float64) ** 2).sum(1))
+
+    @cached_property
+    def longest(self) -> float:
+        return self.norm.max(initial=0)
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        return self.stored.astype(np.float32)
+
+    @cached_property
+    def double(self) -> np.ndarray:
+        return self.stored.astype(np.float64)
+
+    @cached_property
+    def parts(self) -> list[tuple[int, Block]]:
+        """Slices, as anchors."""
+        return list(self.slices())
+
+    @cached_property
+    def tiles(self) -> list[Block]:
+        """Slices, as rows."""
+        return [tile for _, tile in self.slices(TILE)]
+
+    @cached_property
+    def repeats(self) -> int:
+        """How many rows share an id at most."""
+        return int(np.unique(self.ids, return_counts=True)[1].max(initial=1))
+
+    @cached_property
+    def level(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every length of segments (means, deviations)."""
+        if self._of:
+            whole, some = self._of
+            return [(m[some], d[some]) for m, d in whole.level]
+        sums, out, at = _summaries(self.q), [], 0
         for width in SEGMENTS:
             k = (self.dim + -self.dim % SEGMENTS[0]) // width
-            self.level.append((sums[:, at : at + k], sums[:, at + k : at + 2 * k]))
+            out.append((sums[:, at : at + k], sums[:, at + k : at + 2 * k]))
             at += 2 * k
-        self.norm = np.sqrt((self.q.astype(np.float64) ** 2).sum(1))
+        return out
+
+    def take(self, some: slice | np.ndarray) -> Block:
+        """Some of the rows."""
+        part = Block.__new__(Block)
+        part.dim, part.ids, part.labels, part.stored, part._of = self.dim, self.ids[some], self.labels[some], self.stored[some], (self, some)
+        return part
 
     def slices(self, most: int = SLICE) -> Iterator[tuple[int, Block]]:
         """The first row's number and the rows, ``most`` at a time."""
         for at in range(0, len(self.ids), most):
-            part, some = Block.__new__(Block), slice(at, at + most)
-            part.dim, part.ids, part.labels, part.q, part.norm = self.dim, self.ids[some], self.labels[some], self.q[some], self.norm[some]
-            part.level = [(m[some], d[some]) for m, d in self.level]
-            yield at, part
+            yield at, self.take(slice(at, at + most))
+
+    def run(self, label: int) -> slice:
+        """Where the rows of a label lie."""
+        return slice(*(int(np.searchsorted(self.labels, label, side)) for side in ("left", "right")))
 
 
 def _packed(ids: np.ndarray, labels: np.ndarray, q: np.ndarray) -> dict:
-    order = np.argsort(ids, kind="stable")
-    q = np.ascontiguousarray(q[order], "<i8")
-    return {"dim": q.shape[1], "n": len(q), "ids": ids[order].astype("<i8").tobytes(), "labels": labels[order].astype("<i8").tobytes(), "q": q.tobytes(), "sums": _summaries(q).tobytes()}
+    order = np.lexsort((ids, labels))
+    most = int(np.abs(q).max(initial=0))
+    width = next(w for w in (2, 4, 8) if w == 8 or most < 1 << (8 * w - 1))
+    return {"dim": q.shape[1], "n": len(q), "width": width, "ids": ids[order].astype("<i8").tobytes(), "labels": labels[order].astype("<i8").tobytes(), "q": q[order].astype(f"<i{width}").tobytes()}
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -114,7 +174,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield emit(dim)
 
 
-_SCHEMA = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("labels", pa.binary()), ("q", pa.binary()), ("sums", pa.binary())])
+_SCHEMA = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("labels", pa.binary()), ("q", pa.binary())])
 
 
 def _bounds(anchors: Block, rows: Block, level: int, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +185,12 @@ def _bounds(anchors: Block, rows: Block, level: int, mine: np.ndarray) -> tuple[
     return means - spread, means + spread
 
 
-def _products(anchors: Block, rows: Block, mine: np.ndarray) -> np.ndarray:
-    """Exact scores of all anchors with the rows ``mine``."""
-    if not len(mine) or anchors.norm.max() * rows.norm[mine].max() < EXACT / 2:  # no partial sum exceeds the product of norms
-        return np.rint(anchors.q.astype(np.float64) @ rows.q[mine].T.astype(np.float64)).astype(np.int64)
-    return anchors.q @ rows.q[mine].T
+def _products(anchors: Block, rows: Block) -> np.ndarray:
+    """Exact scores of all anchors with all rows, whole numbers in the cheapest type that holds them."""
+    most = anchors.longest * rows.longest  # no partial sum exceeds it
+    if most < EXACT[0] / 2:
+        return anchors.single @ rows.single.T
+    return anchors.double @ rows.double.T if most < EXACT[1] / 2 else anchors.q @ rows.q.T
 
 
 def _kth(values: np.ndarray, k: int) -> np.ndarray:
@@ -158,68 +219,171 @@ def _possible(anchors: Block, rows: Block, allowed, narrow) -> tuple[np.ndarray,
     return mine[keep], live[:, keep]
 
 
-def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Numbers of the first ``k`` entries by score, the largest first, then id, each (score, id) once."""
-    order = np.lexsort((ids, -scores))
-    if len(order) > 1:
-        s, i = scores[order], ids[order]
-        order = order[np.append(True, (s[1:] != s[:-1]) | (i[1:] != i[:-1]))]
-    return order[:k]
-
-
-def _best_positives(anchors: Block, rows: Block, k: int) -> list[tuple[int, int, int]]:
-    """(place of the anchor, score, id) of the best ``k`` rows of the block with the anchor's label and another id."""
-
-    def allowed(mine: np.ndarray) -> np.ndarray:
-        return (anchors.labels[:, None] == rows.labels[mine]) & (anchors.ids[:, None] != rows.ids[mine])
-
-    def narrow(live: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        # Rows that repeat an id count once, so only different ids may raise the threshold.
-        return high >= (_kth(np.where(live, low, -np.inf), k)[:, None] if distinct else -np.inf)
-
-    distinct = bool((rows.ids[1:] != rows.ids[:-1]).all())
-    mine, live = _possible(anchors, rows, allowed, narrow)
-    out, scores = [], _products(anchors, rows, mine)
-    for a in np.flatnonzero(live.any(1)).tolist():
-        at = np.flatnonzero(live[a])
-        s = scores[a, at]
-        if len(at) > 4 * k and distinct:
-            at = at[s >= np.partition(s, len(s) - k)[len(s) - k]]
-            s = scores[a, at]
-        ids = rows.ids[mine[at]]
-        out += [(a, int(s[i]), int(ids[i])) for i in _first(s, ids, k)]
-    return out
-
-
-def _best_negatives(anchors: Block, rows: Block, lowest: np.ndarray, highest: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
-    """(anchor, positive's rank, score, id) of the best ``k`` rows of another label between the bounds, which are (anchors, positives) arrays, empty ranges where lowest > highest."""
-
-    def allowed(mine: np.ndarray) -> np.ndarray:
-        return anchors.labels[:, None] != rows.labels[mine]
-
-    def narrow(live: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        left = np.zeros(live.shape, bool)
-        for p in range(lowest.shape[1]):
-            floor, roof = lowest[:, p, None], highest[:, p, None]
-            need = floor.astype(np.float64)
-            if distinct:  # rows surely within the range; the k-th of them cannot be beaten from below
-                need = np.maximum(need, _kth(np.where(live & (low >= floor) & (high <= roof), low, -np.inf), k)[:, None])
-            left |= (high >= need) & (low <= roof) & (floor <= roof)
-        return left
-
-    distinct = bool((rows.ids[1:] != rows.ids[:-1]).all())
-    mine, live = _possible(anchors, rows, allowed, narrow)
-    out, scores = [], _products(anchors, rows, mine)
-    for a in np.flatnonzero(live.any(1)).tolist():
-        at = np.flatnonzero(live[a])
-        s, ids = scores[a, at], rows.ids[mine[at]]
-        order = _first(s, ids, len(s))
-        s, ids = s[order], ids[order]
-        for p in np.flatnonzero(lowest[a] <= highest[a]).tolist():
-            begin = int(np.searchsorted(-s, -highest[a, p]))
-            end = min(begin + k, int(np.searchsorted(-s, -lowest[a, p], side="right")))
-            out += [(a, p, int(s[i]), int(ids[i])) for i in range(begin, end)]
-    return out
+def _left(anchors: Block, rows: Block, narrow: Callable, allowed: Callable) -> Block | None:
+    """The rows that the bounds leave for some anchor; none where a few anchors show that most would be left."""
+    mine = np.arange(len(rows.ids))
+    for who in (np.arange(0, len(anchors.ids), TRIED), np.arange(len(anchors.ids))):
+        mine, _ = _possible(anchors.take(who), rows, lambda m: allowed(who, m), lambda *a: narrow(who, *a))  # noqa: B023
+        if len(mine) > LEFT * len(rows.ids):
+            return None
+    return rows.take(mine)
+
+
+def _order(lists: np.ndarray, score: np.ndarray, id_: np.ndarray) -> np.ndarray:
+    """Places by list, then score, the largest first, then id; by one key where list and score fit it, ties of it apart."""
+    top, span = int(score.max()), int(score.max()) - int(score.min()) + 1
+    if span * (int(lists.max()) + 1) >= 1 << 62:
+        return np.lexsort((id_, ~score, lists))
+    key = lists * span + (top - score)
+    order = np.argsort(key)
+    tied = np.diff(key[order]) == 0
+    if tied.any():
+        at = np.flatnonzero(np.append(tied, False) | np.append(False, tied))
+        some = order[at]
+        order[at] = some[np.lexsort((id_[some], key[some]))]
+    return order
+
+
+class Best:
+    """The first ``k`` (score, id) of some lists so far, the larger score first, then the smaller id, each once."""
+
+    def __init__(self, lists: int, k: int):
+        self.score, self.id = np.full((lists, k), NONE), np.zeros((lists, k), np.int64)
+
+    def add(self, lists: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
+        if not len(lists):
+            return
+        old = np.unique(lists)
+        row, col = np.nonzero(self.score[old] != NONE)
+        lists, score, id_ = np.concatenate((old[row], lists)), np.concatenate((self.score[old][row, col], score)), np.concatenate((self.id[old][row, col], id_))
+        order = _order(lists, score, id_)
+        lists, score, id_ = lists[order], score[order], id_[order]
+        new = np.append(True, (lists[1:] != lists[:-1]) | (score[1:] != score[:-1]) | (id_[1:] != id_[:-1]))
+        lists, score, id_ = lists[new], score[new], id_[new]
+        place = np.arange(len(lists)) - np.searchsorted(lists, lists)
+        first = place < self.score.shape[1]
+        self.score[lists[first], place[first]], self.id[lists[first], place[first]] = score[first], id_[first]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """list, score, id"""
+        lists, place = np.nonzero(self.score != NONE)
+        return lists, self.score[lists, place], self.id[lists, place]
+
+
+def _places(hit: np.ndarray) -> np.ndarray:
+    """Where a flattened array is true; few places are found eight entries at a time."""
+    flat = hit.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    eights = np.flatnonzero(flat.view(np.uint64))
+    which, at = np.nonzero(flat.reshape(-1, 8)[eights])
+    return eights[which] * 8 + at
+
+
+def _kth_whole(ordered: np.ndarray, k: int, among: np.ndarray | None = None) -> np.ndarray:
+    """The k-th largest of each row of scores as a whole number, NONE where there are fewer; ``among``: of the first so many, which are sorted."""
+    if among is None:
+        kth = _kth(ordered, k)
+    else:
+        kth = np.where(among >= k, ordered[np.arange(len(ordered)), np.maximum(among - k, 0)].astype(np.float64 if ordered.dtype.kind == "f" else np.int64), -np.inf if ordered.dtype.kind == "f" else NONE)
+    return np.where(kth > NONE, kth, 0).astype(np.int64) + np.where(kth > NONE, 0, NONE)
+
+
+class Search:
+    """The best rows so far of a chunk's anchors; blocks are added one after the other."""
+
+    def __init__(self, anchors: Block, lists: int, k: int):
+        self.anchors, self.k, self.best = anchors, k, Best(len(anchors.ids) * lists, k)
+        self.wait, self.step = {}, {}
+
+    def bounded(self, at: int, anchors: Block, rows: Block, narrow: Callable, allowed: Callable) -> Block:
+        """The rows that the bounds leave, tried from the second block on, and again after twice as many blocks each time that they leave most."""
+        if self.wait.setdefault(at, 1):
+            self.wait[at] -= 1
+            return rows
+        left = _left(anchors, rows, narrow, allowed)
+        self.step[at] = min(64, 2 * self.step.get(at, 1)) if left is None else 1
+        self.wait[at] = self.step[at] - 1
+        return rows if left is None else left
+
+
+class Positives(Search):
+    """Rows of an anchor's label with another id."""
+
+    def __init__(self, anchors: Block, k: int):
+        super().__init__(anchors, 1, k)
+        self.alike = []
+        for at, some in anchors.parts:
+            for label in np.unique(some.labels).tolist():
+                run = some.run(label)
+                self.alike.append((at + run.start, label, some.take(run)))
+
+    def add(self, rows: Block) -> None:
+        alike = {label: rows.take(rows.run(label)) for label in np.unique(rows.labels).tolist()}
+        for at, label, some in self.alike:
+            if label in alike:
+                self.tiles(at, some, alike[label])
+
+    def tiles(self, at: int, anchors: Block, rows: Block) -> None:
+        need = lambda: self.best.score[at : at + len(anchors.ids), -1]
+        k = (self.k + 1) * rows.repeats  # of so many entries, k are of different ids other than the anchor's
+
+        def narrow(who: np.ndarray, live: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            return high >= need()[who].astype(np.float64)[:, None]
+
+        rows = self.bounded(at, anchors, rows, narrow, lambda who, m: anchors.ids[who][:, None] != rows.ids[m])
+        for tile in rows.tiles:
+            scores = _products(anchors, tile)
+            least = need()
+            hit = scores >= least.astype(scores.dtype)[:, None]
+            if np.count_nonzero(hit) > MANY * len(least):
+                hit = scores >= np.maximum(least, _kth_whole(scores, k)).astype(scores.dtype)[:, None]
+            a, r = np.divmod(_places(hit), hit.shape[1])
+            other = anchors.ids[a] != tile.ids[r]
+            a, r = a[other], r[other]
+            self.best.add(at + a, scores[a, r].astype(np.int64), tile.ids[r])
+
+
+class Negatives(Search):
+    """Rows of other labels between the bounds of each positive, which are (anchors, positives) arrays, empty ranges where lowest > highest."""
+
+    def __init__(self, anchors: Block, lowest: np.ndarray, highest: np.ndarray, k: int):
+        super().__init__(anchors, lowest.shape[1], k)
+        self.lowest, self.highest = np.where(lowest <= highest, lowest, BEYOND), np.where(lowest <= highest, highest, NONE)
+
+    def add(self, rows: Block) -> None:
+        for at, some in self.anchors.parts:
+            self.tiles(at, some, rows)
+
+    def tiles(self, at: int, anchors: Block, rows: Block) -> None:
+        n, lists = len(anchors.ids), self.lowest.shape[1]
+        roof, k = self.highest[at : at + n], self.k * rows.repeats
+        need = lambda: np.maximum(self.lowest[at : at + n], self.best.score[at * lists : (at + n) * lists, -1].reshape(n, lists))
+
+        def narrow(who: np.ndarray, live: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            least, left = need()[who].astype(np.float64), np.zeros(live.shape, bool)
+            for p in range(lists):
+                left |= (high >= least[:, p, None]) & (low <= roof[who, p, None].astype(np.float64))
+            return left
+
+        rows = self.bounded(at, anchors, rows, narrow, lambda who, m: anchors.labels[who][:, None] != rows.labels[m])
+        for tile in rows.tiles:
+            scores = _products(anchors, tile)
+            kind, never = scores.dtype, -np.inf if scores.dtype.kind == "f" else NONE
+            for label in np.unique(anchors.labels).tolist():
+                scores[anchors.run(label), tile.run(label)] = never
+            least = need()
+            hit = scores >= least.min(1).astype(kind)[:, None]
+            if np.count_nonzero(hit) > MANY * n:
+                hit[:], ordered = False, np.sort(scores, axis=1)
+                for p in range(lists):
+                    top = scores <= roof[:, p, None].astype(kind)
+                    least[:, p] = np.maximum(least[:, p], _kth_whole(ordered, k, np.count_nonzero(top, axis=1)))
+                    hit |= top & (scores >= least[:, p, None].astype(kind))
+            a, r = np.divmod(_places(hit), hit.shape[1])
+            score = scores[a, r].astype(np.int64)
+            which, p = np.nonzero((score[:, None] >= least[a]) & (score[:, None] <= roof[a]))
+            self.best.add((at + a[which]) * lists + p, score[which], tile.ids[r[which]])
 
 
 def mine_negatives(
@@ -256,55 +420,70 @@ def mine_negatives(
 
     dealt = chosen.withColumn("chunk", F.pmod(F.xxhash64("id", "label", "q"), F.element_at(known, F.col("dim"))).cast("int"))
     chunks = materialize(dealt.groupBy("dim", "chunk").applyInArrow(pack, "chunk int, " + _PACKED))
-    # Anchors are copied for every share of the blocks, blocks for every chunk, so that pairs of both are dealt evenly:
-    # a pair of block and chunk is about a second's work, against some ten megabytes that are moved for it.
-    shares = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count()))
+    # Anchors are copied for every share of the blocks, blocks for every chunk, so that pairs of both are dealt evenly.
+    # The first blocks of a share cost the most, as nothing is known of the best yet, so there are no more shares than cores need.
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    shares = max(1, min(-(-tasks // max(1, sum(parts.values()))), blocks.count()))
     spread = blocks.select("*", F.explode(F.sequence(F.lit(0), F.element_at(known, F.col("dim")) - 1)).alias("chunk"), F.pmod(F.xxhash64("block"), F.lit(shares)).alias("share")) if parts else blocks.withColumns({"chunk": F.lit(0), "share": F.lit(0).cast("long")}).limit(0)
-    copied = chunks.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
 
-    def meet(right: DataFrame, run, schema: str) -> DataFrame:
-        both = spread.join(right.withColumnsRenamed({c: f"a_{c}" for c in ("n", "ids", "labels", "q", "sums")}), ["dim", "chunk", "share"])
+    def meet(right: DataFrame, begin: Callable[[dict, Block], Search], schema: str) -> DataFrame:
+        """Blocks with the anchors of ``right``; list (a number), score and id of the best of each."""
+        copied = right.withColumnsRenamed({c: f"a_{c}" for c in right.columns if c not in ("dim", "chunk")}).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+        both = spread.join(copied.hint("merge"), ["dim", "chunk", "share"])  # blocks of a small table would stay in the few tasks that read them
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], Search] = {}
+
+            def emit(key: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+                search = held.pop(key)
+                lists, score, id_ = search.best.rows()
+                for at in range(0, len(lists), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    same = [pa.array(np.full(len(lists[some]), x, np.int32)) for x in key]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(lists[some]), pa.array(score[some]), pa.array(id_[some])], names=["dim", "chunk", "list", "score", "id"])
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    value = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
+                    key = value("dim"), value("chunk")
+                    if key not in held:
+                        row = {c[2:]: value(c) for c in batch.schema.names if c[:2] == "a_"}
+                        held[key] = begin(row, Block(row | {"dim": key[0]}))
+                    held[key].add(Block({c: value(c) for c in ("dim", "n", "width", "ids", "labels", "q")}))
+                    if len(held) > HELD:
+                        yield from emit(next(iter(held)))
+            for key in list(held):
+                yield from emit(key)
+
         return both.mapInArrow(run, schema)
 
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block, Block]]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                yield row, Block({k[2:]: v for k, v in row.items() if k[:2] == "a_"} | {"dim": row["dim"]}), Block(row)
-
-    def positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, a, b in pairs_of(batches):
-            got = [(at + x, score, i) for at, some in a.slices() for x, score, i in _best_positives(some, b, positives)]
-            cols = list(zip(*got)) or [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["dim"]] * len(got), pa.int32()), pa.array([row["chunk"]] * len(got), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], names=["dim", "chunk", "place", "score", "id"]
-            )
-
-    found = meet(copied, positive, "dim int, chunk int, place long, score long, id long").distinct()
-    first = Window.partitionBy("dim", "chunk", "place").orderBy(F.desc("score"), "id")
-    found = materialize(found.withColumn("p", F.row_number().over(first) - 1).filter(F.col("p") < positives))
-    held = found.groupBy("dim", "chunk").agg(F.collect_list(F.struct("place", "p", "score", "id")).alias("found"))  # some for each anchor of a chunk
-    armed = chunks.join(held, ["dim", "chunk"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-
-    def negative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, a, b in pairs_of(batches):
-            lowest, highest = np.ones((len(a.ids), positives), np.int64), np.zeros((len(a.ids), positives), np.int64)
-            whose = {}
-            for f in row["found"]:
-                lowest[f["place"], f["p"]] = -(-least * f["score"] // 100)
-                highest[f["place"], f["p"]] = most * f["score"] // 100
-                whose[f["place"], f["p"]] = (f["id"], f["score"])
-            found = ((at + x, p, score, i) for at, some in a.slices() for x, p, score, i in _best_negatives(some, b, lowest[at : at + SLICE], highest[at : at + SLICE], negatives))
-            got = [(int(a.ids[x]), x, p, *whose[x, p], score, i) for x, p, score, i in found]
-            cols = list(zip(*got)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["dim"]] * len(got), pa.int32()), pa.array([row["chunk"]] * len(got), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)],
-                names=["dim", "chunk", "anchor_id", "place", "p", "positive_id", "positive_score", "negative_score", "negative_id"],
-            )
-
-    out = meet(armed, negative, "dim int, chunk int, anchor_id long, place long, p long, positive_id long, positive_score long, negative_score long, negative_id long").distinct()
-    rank = F.row_number().over(Window.partitionBy("dim", "chunk", "place", "p").orderBy(F.desc("negative_score"), "negative_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    listed = "dim int, chunk int, list long, score long, id long"
+    best = Window.partitionBy("dim", "chunk", "list").orderBy(F.desc("score"), "id")
+    found = meet(chunks, lambda row, anchors: Positives(anchors, positives), listed)
+    found = materialize(found.withColumn("p", F.dense_rank().over(best) - 1).filter(F.col("p") < positives).distinct())
+    held = found.groupBy("dim", "chunk").agg(F.collect_list(F.struct("list", "p", "score")).alias("found"))  # some for each anchor of a chunk
+
+    def ranges(row: dict, anchors: Block) -> Negatives:
+        place, p, score = (np.array([f[c] for f in row["found"]], np.int64) for c in ("list", "p", "score"))
+        lowest, highest = np.ones((len(anchors.ids), positives), np.int64), np.zeros((len(anchors.ids), positives), np.int64)
+        lowest[place, p] = [-(-least * int(s) // 100) for s in score]
+        highest[place, p] = [most * int(s) // 100 for s in score]
+        return Negatives(anchors, lowest, highest, negatives)
+
+    out = meet(chunks.join(held, ["dim", "chunk"]), ranges, listed)
+    out = out.withColumn("rank", F.dense_rank().over(best)).filter(F.col("rank") <= negatives).distinct()
+    out = out.select("dim", "chunk", F.expr(f"list div {positives}").alias("place"), (F.col("list") % positives).cast("int").alias("p"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
+    whose = found.select("dim", "chunk", F.col("list").alias("place"), "p", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
+    named = chunks.select("dim", "chunk", "n", "ids").mapInArrow(_named, "dim int, chunk int, place long, anchor_id long")
+    return out.join(whose, ["dim", "chunk", "place", "p"]).join(named, ["dim", "chunk", "place"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of chunks' anchors by their places."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            same = [pa.array(np.full(row["n"], row[c], np.int32)) for c in ("dim", "chunk")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(row["n"])), pa.array(np.frombuffer(row["ids"], "<i8"))], names=["dim", "chunk", "place", "anchor_id"])
 
 
 SQL = """

@@ -302,3 +302,37 @@ def test_slices_of_a_chunk_are_its_rows():
     parts = list(b.slices(4))
     assert [at for at, _ in parts] == [0, 4, 8] and np.concatenate([p.q for _, p in parts]).tolist() == b.q.tolist()
     assert all(np.array_equal(np.concatenate([p.level[k][j] for _, p in parts]), b.level[k][j]) for k in range(2) for j in range(2))
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 18])  # products in single and double precision and in whole numbers
+def test_the_best_few_of_an_anchor_do_not_grow_with_the_blocks(size):
+    r = np.random.default_rng(size)
+    center = r.integers(-90, 90, (6, 16))
+    label = np.sort(r.integers(0, 6, 3000))
+    ids, q = np.append(np.arange(2990), np.arange(10)), (center[label] + r.integers(-9, 10, (3000, 16))) * size  # ten ids repeat
+    q[40:80], label[50:60] = q[40], 3  # ties, with other labels among them
+    block = lambda some: hard_negatives.Block(hard_negatives._packed(ids[some], label[some], q[some]))
+    anchors = block(np.arange(0, 3000, 7))
+    found = hard_negatives.Positives(anchors, 5)
+    order = r.permutation(3000)
+    blocks = [block(order[i : i + 100]) for i in range(0, 3000, 100)]
+    for b in blocks:
+        found.add(b)
+    kth = found.best.score.reshape(-1, 5)
+    lowest, highest = np.where(kth != hard_negatives.NONE, -(-30 * kth // 100), 1), np.where(kth != hard_negatives.NONE, 90 * kth // 100, 0)
+    others = hard_negatives.Negatives(anchors, lowest, highest, 10)
+    for b in blocks:
+        others.add(b)
+    got, left = collections.defaultdict(list), collections.defaultdict(list)
+    for search, out in ((found, got), (others, left)):
+        for x, score, i in sorted(zip(*(c.tolist() for c in search.best.rows())), key=lambda t: (t[0], -t[1], t[2])):
+            out[x].append((score, i))
+    assert len(found.best.score) == len(anchors.ids) and len(others.best.score) == 5 * len(anchors.ids)  # places, however many blocks
+    scores = anchors.q @ q.T
+    for a in range(len(anchors.ids)):
+        alike = {(int(-s), int(i)) for s, i in zip(scores[a][label == anchors.labels[a]], ids[label == anchors.labels[a]]) if i != anchors.ids[a]}
+        unlike = sorted({(int(-s), int(i)) for s, i in zip(scores[a][label != anchors.labels[a]], ids[label != anchors.labels[a]])})
+        assert got[a] == [(-s, i) for s, i in sorted(alike)[:5]]
+        for p, (s, _) in enumerate(got[a]):
+            assert left[5 * a + p] == [(-t, i) for t, i in unlike if 30 * s <= 100 * -t <= 90 * s][:10]
+    assert max(found.step.values()) < 64 and any(found.bounded(at, some, b, lambda who, live, low, high: high >= found.best.score[at + who, -1:], lambda who, m: np.ones((len(who), len(m)), bool)) is not b for at, _, some in found.alike for b in blocks)
